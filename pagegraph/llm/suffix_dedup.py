@@ -423,7 +423,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True,
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("text")
 
 
 #: The same over hexadecimal text, by grouping every 200-byte string.
