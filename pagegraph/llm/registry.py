@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, mixing, suffix_dedup, token_count, url_filter
+from . import decontaminate, mixing, ngram_join, suffix_dedup, token_count, url_filter
 
 
 def queries() -> dict[str, Callable]:
-    found = [token_count.op1_token_count, suffix_dedup.op3_suffix_dedup, mixing.op4_mixing, url_filter.op6_url_filter, decontaminate.op10_decontamination]
+    found = [token_count.op1_token_count, suffix_dedup.op3_suffix_dedup, ngram_join.op8_ngram_join, mixing.op4_mixing, url_filter.op6_url_filter, decontaminate.op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": suffix_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {"op3_suffix_dedup": suffix_dedup.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op6_url_filter": url_filter.ORACLE, "op10_decontamination": decontaminate.ORACLE}
