@@ -1,10 +1,57 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline over ``documents``; each stage works on all that the one before kept.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. Rows that share a doc_id stay or go together in the joining stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagegraph.llm import decontaminate, mixing, ngram_join, quality, suffix_dedup
+from pagegraph.llm.common import table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tail probability for the second grade or more reaches quality.TAIL stay."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
+    return quality.grade(docs, quality.train(docs, labels)).where(F.col("p_above") >= quality.TAIL).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each component of similar documents stays."""
+    kept = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 200-byte strings leave the texts; n_chars follows. Documents of which nothing is left stay, empty."""
+    out = suffix_dedup.remove_repeats(docs)
+    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words from, with size, target and taken (words, repeats counted)."""
+    taken = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    taken = taken.groupBy("doc_id").agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0")
+    return docs.join(taken, "doc_id")
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("leaks", leaks), ("mix", mix)]
+
+#: The first stage is a trained model, which SQL doesn't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -96,41 +96,45 @@ def load_shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[li
     return shards
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, spans.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_bytes: int = SHARD_BYTES, text: str = "text") -> DataFrame:
+    """Adds n_words, n_hit, n_items, items_sha256, contaminated and spans to every row of ``docs``.
 
     ``spans`` are byte offsets (start, end) of hit runs in the original text. Null or empty texts have no words
     and are clean; null items have no windows; an empty benchmark finds nothing. Items are told apart by id.
+    Columns of the new names are replaced, others pass through.
     """
     sc = docs.sparkSession.sparkContext
     shards = [sc.broadcast(pickle.dumps(s)) for s in load_shards(benchmark, shard_bytes)]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+    long, spans_type = T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    new = {"n_words": long, "n_hit": long, "n_items": long, "items_sha256": T.StringType(), "contaminated": T.BooleanType(), "spans": spans_type}
+    docs = docs.drop(*new)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, kind) for c, kind in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [a for s in shards if (a := build(pickle.loads(s.value), width)) is not None]
         for b in batches:
             n_words, n_hit, n_items, sha, spans = [], [], [], [], []
-            for text in b.column("text"):
-                text = text.as_py()
-                n, mask, found = scan(text, automata)
+            for t in b.column(text):
+                t = t.as_py()
+                n, mask, found = scan(t, automata)
                 n_words.append(n)
                 n_hit.append(int(mask.sum()))
                 n_items.append(len(found))
                 sha.append(hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
                 runs = []
                 if found:
-                    at = word_spans(text)
+                    at = word_spans(t)
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
                     runs = [{"start": at[i][0], "end": at[j - 1][1]} for i, j in zip(edge[::2], edge[1::2], strict=True)]
                 spans.append(runs)
-            arrays = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, *new])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text", "spans")
 
 
 _WORDS = "list_filter(string_split(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
