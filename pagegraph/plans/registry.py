@@ -1,19 +1,510 @@
-"""All layout queries with their SQL."""
+"""All layout queries with their SQL. Results are flat: whole numbers as long, fractions rounded, arrays as text."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..config import PAGE
+from ..functions import text as X
+from ..operators import boxes as B
+from ..operators import document as D
+from ..operators import glyphs as G
+from ..operators import graph as R
+from ..operators import layout as L
+from ..operators import tables as TB
+from . import fixtures as FX
+from .oracles import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+KEY = "doc_id, page_number::BIGINT AS page_number"
+
+
+def flat(df: DataFrame, digits: int = 4) -> DataFrame:
+    def one(f: T.StructField):
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            return F.col(f.name).cast("long").alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return (F.round(F.col(f.name).cast("double"), digits) + 0.0).alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*map(one, df.schema.fields))
+
+
+def query(oracle: str | None = None, digits: int = 4):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: flat(f(spark, sf_dir), digits)
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def _safe(s, d):
+    return G.with_angle(G.safe_zone(FX.glyphs(s, d)))
+
+
+def _kept(s, d):
+    return L.mask(G.normalised(_safe(s, d)), FX.layout_boxes(s, d))
+
+
+def _sliced(s, d):
+    return L.slices(L.lines(G.with_metrics(_kept(s, d))))
+
+
+def _pieces(s, d):
+    return L.spaced(L.columns(_sliced(s, d), L.page_gutters(_safe(s, d))))
+
+
+# -- glyphs ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {KEY}, count(*)::BIGINT AS n, sum(seq)::BIGINT AS seqs, round(sum(x0), 4) AS xs, round(sum(top), 4) AS tops, round(sum(size), 4) AS sizes, sum(unicode(text))::BIGINT AS letters FROM glyphs GROUP BY ALL")
+def scan_glyphs(s, d):
+    return FX.glyphs(s, d).groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.sum("x0").alias("xs"), F.sum("top").alias("tops"), F.sum("size").alias("sizes"), F.sum(F.ascii("text").cast("long")).alias("letters"))
+
+
+@query(f"SELECT {KEY} FROM doc_pages")
+def enumerate_pages(s, d):
+    return FX.pages(s, d).select(*PAGE)
+
+
+@query(f"SELECT {KEY}, count(*)::BIGINT AS n, min(top) AS least, max(top) AS most FROM safe_glyphs GROUP BY ALL")
+def safe_zone(s, d):
+    return G.safe_zone(FX.glyphs(s, d)).groupBy(*PAGE).agg(F.count("*").alias("n"), F.min("top").alias("least"), F.max("top").alias("most"))
+
+
+@query("SELECT a::DOUBLE AS a, b::DOUBLE AS b, round(((degrees(atan2(b, a)) % 360) + 360) % 360, 1) AS angle FROM (SELECT DISTINCT l_quantity - 25 AS a, (l_linenumber * 7 - 20)::DOUBLE AS b FROM lineitem)", digits=1)
+def rotation_angle(s, d):
+    m = FX.table(s, d, "lineitem").select((F.col("l_quantity") - 25).alias("a"), (F.col("l_linenumber") * 7 - 20).cast("double").alias("b")).distinct()
+    return m.withColumn("angle", X.rotation_angle(F.array("a", "b")))
+
+
+@query(f"SELECT {KEY}, seq, round(nx0, 4) AS nx0, round(nx1, 4) AS nx1, round(ntop, 4) AS ntop, round(nbottom, 4) AS nbottom FROM norm_glyphs WHERE angle <> 0")
+def normalize_coords(s, d):
+    return G.normalised(_safe(s, d)).where("angle <> 0").select(*PAGE, "seq", "nx0", "nx1", "ntop", "nbottom")
+
+
+@query(f"SELECT {KEY}, angle, count(*)::BIGINT AS n, min(seq)::BIGINT AS first_seq FROM safe_glyphs GROUP BY ALL")
+def angle_buckets(s, d):
+    return _safe(s, d).groupBy(*PAGE, "angle").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+_CID = "SELECT doc_id, page_number, seq, CASE WHEN page_number % 3 = 0 THEN '(cid:' || (seq % 90) || ')' ELSE text END AS text FROM body_glyphs"
+
+
+@query(f"SELECT {KEY}, length(t)::BIGINT AS n_chars, length(c)::BIGINT AS n_clean, contains(t, '(cid:') AND length(t) > 10 AND length(c) / length(t) < 0.6 AS corrupt FROM (SELECT *, regexp_replace(t, '\\(cid:\\d+\\)', '', 'g') AS c FROM (SELECT doc_id, page_number, string_agg(text, '' ORDER BY seq) AS t FROM ({_CID}) GROUP BY ALL))")
+def cid_pages(s, d):
+    g = FX.glyphs(s, d).where("seq < 1000000000")
+    return G.cid_pages(g.withColumn("text", F.when(F.col("page_number") % 3 == 0, F.concat(F.lit("(cid:"), F.col("seq") % 90, F.lit(")"))).otherwise(F.col("text"))))
+
+
+@query()
+def nfkc_text(s, d):
+    return X.nfkc(FX.glyphs(s, d), "text", "nfkc").groupBy("text", "nfkc").agg(F.count("*").alias("n"))
+
+
+# -- page metrics ---------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {KEY}, angle, mode_size FROM page_modes")
+def size_mode(s, d):
+    return G.page_metrics(_kept(s, d)).select(*PAGE, "angle", "mode_size")
+
+
+@query(f"SELECT {KEY}, angle, round(sd_size, 4) AS sd_size FROM metrics")
+def size_stddev(s, d):
+    return G.page_metrics(_kept(s, d)).select(*PAGE, "angle", "sd_size")
+
+
+@query(f"SELECT {KEY}, angle, mode_size, round(avg_height, 4) AS avg_height, n_glyphs::BIGINT AS n_glyphs, first_seq::BIGINT AS first_seq FROM metrics")
+def page_metrics(s, d):
+    return G.page_metrics(_kept(s, d)).drop("sd_size", "heading_threshold")
+
+
+@query(f"SELECT {KEY}, angle, round(heading_threshold, 4) AS heading_threshold FROM thresholds")
+def heading_threshold(s, d):
+    return G.page_metrics(_kept(s, d)).select(*PAGE, "angle", "heading_threshold")
+
+
+# -- layout ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {KEY}, count(*)::BIGINT AS n, sum(seq)::BIGINT AS seqs FROM kept_glyphs GROUP BY ALL")
+def zorder_mask(s, d):
+    return _kept(s, d).groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query(f"SELECT {KEY}, sum(n)::BIGINT AS total, sum(x * n)::BIGINT AS moment, max(n)::BIGINT AS most, count(*)::BIGINT AS bins FROM histogram GROUP BY ALL")
+def x_histogram(s, d):
+    return L.coverage(_safe(s, d)).groupBy(*PAGE).agg(F.sum("n").alias("total"), F.sum(F.col("x") * F.col("n")).alias("moment"), F.max("n").alias("most"), F.count("*").alias("bins"))
+
+
+@query(f"SELECT {KEY}, round(sum(v), 4) AS total, round(sum(x * v), 2) AS moment, sum((v < 0.1)::INT)::BIGINT AS empty FROM smooth GROUP BY ALL")
+def hist_smooth(s, d):
+    return L.smoothed(L.coverage(_safe(s, d))).groupBy(*PAGE).agg(F.sum("smooth").alias("total"), F.round(F.sum(F.col("x") * F.col("smooth")), 2).alias("moment"), F.sum((F.col("smooth") < 0.1).cast("int")).alias("empty"))
+
+
+@query(f"SELECT {KEY}, g0::BIGINT AS g0, g1::BIGINT AS g1 FROM gutters")
+def gutters(s, d):
+    return L.page_gutters(_safe(s, d))
+
+
+@query(f"SELECT {KEY}, string_agg(printf('%.1f', g0 + (g1 - g0) / 2), ',' ORDER BY g0) AS columns FROM gutters GROUP BY ALL")
+def gutter_columns_arg(s, d):
+    return TB.gutter_columns(L.page_gutters(_safe(s, d)))
+
+
+@query(f"SELECT {KEY}, angle, line::BIGINT AS line, n::BIGINT AS n, round(lt, 4) AS lt, round(lb, 4) AS lb FROM line_boxes")
+def lines(s, d):
+    return L.lines(G.with_metrics(_kept(s, d))).groupBy(*PAGE, "angle", "line").agg(F.count("*").alias("n"), F.min("ntop").alias("lt"), F.max("nbottom").alias("lb"))
+
+
+@query(f"SELECT {KEY}, angle, slice::BIGINT AS slice, n::BIGINT AS n, round(a, 4) AS a, round(b, 4) AS b FROM slice_boxes")
+def slices(s, d):
+    return _sliced(s, d).groupBy(*PAGE, "angle", "slice").agg(F.count("*").alias("n"), F.min("nx0").alias("a"), F.max("nx1").alias("b"))
+
+
+@query(f"SELECT {KEY}, angle, slice::BIGINT AS slice, g0::BIGINT AS g0, g1::BIGINT AS g1 FROM central")
+def central_gutters(s, d):
+    part = _sliced(s, d).groupBy(*PAGE, "angle", "slice").agg(F.min("nx0").alias("a"), F.max("nx1").alias("b"))
+    mid = F.col("a") + (F.col("b") - F.col("a")) / 2
+    j = part.join(L.page_gutters(_safe(s, d)), PAGE).where((F.col("a") < F.col("g0")) & (F.col("g1") < F.col("b")) & (F.col("g0") < mid) & (mid < F.col("g1")))
+    return j.groupBy(*PAGE, "angle", "slice").agg(F.min(F.struct("g0", "g1")).alias("g")).select(*PAGE, "angle", "slice", "g.g0", "g.g1")
+
+
+@query(f"SELECT {KEY}, angle, slice::BIGINT AS slice, column_id::BIGINT AS column_id, count(*)::BIGINT AS n FROM column_glyphs GROUP BY ALL")
+def column_assign(s, d):
+    return L.columns(_sliced(s, d), L.page_gutters(_safe(s, d))).groupBy(*PAGE, "angle", "slice", "column_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {KEY}, sum((length(piece) - length(text)))::BIGINT AS spaces, count(*)::BIGINT AS n FROM block_glyphs GROUP BY ALL")
+def space_recovery(s, d):
+    return _pieces(s, d).groupBy(*PAGE).agg(F.sum(F.length("piece") - F.length("text")).alias("spaces"), F.count("*").alias("n"))
+
+
+_BOX = "round(x0, 4) AS x0, round(top, 4) AS top, round(x1, 4) AS x1, round(bottom, 4) AS bottom"
+
+
+@query(f"SELECT {KEY}, angle, slice::BIGINT AS slice, column_id::BIGINT AS column_id, block::BIGINT AS block, text, type, round(font_size, 4) AS font_size, {_BOX} FROM blocks")
+def text_blocks(s, d):
+    return L.blocks(_pieces(s, d)).select(*PAGE, "angle", "slice", "column_id", "block", "text", "type", "font_size", "x0", "top", "x1", "bottom")
+
+
+@query(f"SELECT {KEY}, angle, slice::BIGINT AS slice, column_id::BIGINT AS column_id, block::BIGINT AS block, text, type, round(font_size, 4) AS font_size, {_BOX} FROM merged")
+def merge_blocks(s, d):
+    return L.merged(L.blocks(_pieces(s, d))).select(*PAGE, "angle", "slice", "column_id", "block", "text", "type", "font_size", "x0", "top", "x1", "bottom")
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, type, text, column_id::BIGINT AS column_id, round(font_size, 4) AS font_size, {_BOX}, angle AS rotation FROM ordered")
+def reading_order(s, d):
+    return L.parse(FX.glyphs(s, d), FX.layout_boxes(s, d))
+
+
+# -- boxes ----------------------------------------------------------------------------------------------------------
+
+_WH = "(x1 - x0) AS w, (bottom - top) AS h"
+_NOISE = f"SELECT * FROM (SELECT *, {_WH} FROM shapes WHERE tag = 'xobject') WHERE w >= 5 AND h >= 5 AND w * h >= 25 AND top > 39.6 AND top < 752.4"
+_ID = f"{KEY}, seq::BIGINT AS seq"
+_XY = ["x0", "top", "x1", "bottom"]
+
+
+def _images(s, d):
+    return B.image_noise(FX.shapes(s, d).where("tag = 'xobject'"))
+
+
+@query(f"SELECT {_ID}, {_BOX} FROM ({_NOISE})")
+def image_noise(s, d):
+    return _images(s, d).select(*PAGE, "seq", *_XY)
+
+
+@query(f"SELECT {_ID}, {_BOX} FROM ({_NOISE}) WHERE NOT (w * h > 0.85 * 612 * 792 AND doc_id % 40 > 20)")
+def image_watermark(s, d):
+    return B.without_watermarks(_images(s, d), FX.glyph_counts(s, d)).select(*PAGE, "seq", *_XY)
+
+
+_VECTOR = f"SELECT * FROM (SELECT *, {_WH} FROM shapes) WHERE w >= 2 AND h >= 2 AND NOT (w > 0.9 * 612 AND h > 0.9 * 792)"
+
+
+@query(f"SELECT {_ID}, {_BOX} FROM ({_VECTOR})")
+def vector_noise(s, d):
+    return B.vector_noise(FX.shapes(s, d)).select(*PAGE, "seq", *_XY)
+
+
+@query(f"SELECT {_ID}, CASE seq % 3 WHEN 0 THEN 'curve' WHEN 1 THEN 'line' ELSE 'rect' END AS kind FROM shapes")
+def vector_union(s, d):
+    f = FX.shapes(s, d)
+    a, b, c = (f.where(f"seq % 3 = {k}").withColumn("kind", F.lit(n)) for k, n in ((0, "curve"), (1, "line"), (2, "rect")))
+    return B.vector_union(a, b, c).select(*PAGE, "seq", "kind")
+
+
+@query(f"SELECT {_ID}, tag, {_BOX} FROM (SELECT doc_id, page_number, seq, tag, x0, top, x1, bottom FROM ({_NOISE}) UNION ALL SELECT doc_id, page_number, seq, tag, x0, top, x1, bottom FROM ({_VECTOR}) WHERE tag = 'vector')")
+def raw_boxes(s, d):
+    return _images(s, d).unionByName(B.vector_noise(FX.shapes(s, d).where("tag = 'vector'"))).select(*PAGE, "seq", "tag", *_XY)
+
+
+@query()
+def merge_boxes(s, d):
+    return B.merge_boxes(FX.shapes(s, d))
+
+
+@query()
+def vector_clusters(s, d):
+    return B.significant(B.merge_boxes(B.vector_noise(FX.shapes(s, d)), 15.0))
+
+
+@query(f"SELECT {_ID}, round(greatest(0, x0), 2) AS x0, round(greatest(0, top), 2) AS top, round(least(612, x1), 2) AS x1, round(least(792, bottom), 2) AS bottom FROM shapes WHERE least(612, x1) > greatest(0, x0) AND least(792, bottom) > greatest(0, top)")
+def clamp_boxes(s, d):
+    return B.clamp(FX.shapes(s, d)).select(*PAGE, "seq", *_XY)
+
+
+@query(f"SELECT {_ID}, CASE WHEN doc_id % 9 <> 0 AND x1 - x0 < 0.6 * 612 THEN CASE WHEN x0 < 306 THEN 1 ELSE 2 END ELSE 0 END::BIGINT AS column_id FROM shapes")
+def object_column_id(s, d):
+    return L.object_column(FX.shapes(s, d).withColumn("has_text", F.col("doc_id") % 9 != 0)).select(*PAGE, "seq", "column_id")
+
+
+@query()
+def image_label(s, d):
+    return B.label(B.merge_boxes(FX.shapes(s, d))).select(*PAGE, "cluster", "metadata")
+
+
+# -- tables ---------------------------------------------------------------------------------------------------------
+
+_WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""SELECT doc_id, r::BIGINT AS n_rows, c::BIGINT AS n_cols, e::BIGINT AS n_empty, coalesce(list_max(ws), 0)::BIGINT AS max_words,
+  CASE WHEN NOT (r * c > 1 AND c > 1 AND len(ws) >= 2) THEN false WHEN e > 0.8 * r * c THEN false
+       WHEN c = 2 AND a1 < 2 AND list_max(ws) > 20 THEN false WHEN c = 2 AND a1 <= 1.2 AND a2 <= 1.2 AND r > 5 THEN false ELSE true END AS valid
+  FROM (SELECT doc_id, len(data) AS r, len(data[1]) AS c, len(list_filter(flatten(data), lambda x: trim(x) = '')) AS e, list_transform(list_filter(flatten(data), lambda x: trim(x) <> ''), lambda x: {_WORDS.format('x')}) AS ws,
+    list_avg(list_transform(data, lambda x: {_WORDS.format('x[1]')})) AS a1, list_avg(list_transform(data, lambda x: {_WORDS.format('x[2]')})) AS a2 FROM tabs)""")
+def table_validity(s, d):
+    return TB.validity(FX.tables(s, d)).select("doc_id", "n_rows", "n_cols", "n_empty", "max_words", "valid")
+
+
+@query(f"SELECT {_ID}, round(792 - bottom, 4) AS top, round(792 - top, 4) AS bottom FROM shapes")
+def table_bbox_flip(s, d):
+    t = FX.shapes(s, d).withColumnRenamed("top", "y0").withColumnRenamed("bottom", "y1")
+    return TB.flip(t).select(*PAGE, "seq", "top", "bottom")
+
+
+@query(f"SELECT {KEY} FROM doc_pages p WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = p.doc_id AND l_linenumber = p.page_number)")
+def table_probe_semi(s, d):
+    rules = FX.table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"))
+    return TB.probe(FX.pages(s, d), rules).select(*PAGE)
+
+
+@query("SELECT doc_id, 1::BIGINT AS page_number, flavor, len(data)::BIGINT AS n_rows FROM (SELECT doc_id, 'lattice' AS flavor, data FROM tabs WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'stream', data FROM tabs WHERE doc_id % 3 <> 0)")
+def table_fallback(s, d):
+    t = FX.tables(s, d).select("doc_id", F.lit(1).alias("page_number"), F.size("data").alias("n_rows"))
+    return TB.with_fallback(t.where("doc_id % 3 = 0").withColumn("flavor", F.lit("lattice")), t.withColumn("flavor", F.lit("stream"))).select("doc_id", "page_number", "flavor", "n_rows")
+
+
+@query("SELECT doc_id, page_number::BIGINT AS page_number, page_number + 1 AS from_page, header_dropped, n_rows::BIGINT AS n_rows FROM heal_walk WHERE merged")
+def heal_tables(s, d):
+    return TB.heal(FX.table_pages(s, d))
+
+
+# -- texts ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, regexp_replace(text, '\\p{{Nd}}+', '', 'g') AS plain FROM items WHERE text IS NOT NULL")
+def digit_normalize(s, d):
+    return FX.items(s, d).where("text is not null").select(*PAGE, "ord", X.without_digits(F.col("text")).alias("plain"))
+
+
+@query("SELECT doc_id, regexp_replace(' ' || chr(9) || coalesce(text, '') || chr(10), '^\\s+|\\s+$', '', 'g') AS plain FROM documents")
+def strip_ws(s, d):
+    return FX.table(s, d, "documents").select("doc_id", X.strip_ws(F.concat(F.lit(" \t"), F.coalesce("text", F.lit("")), F.lit("\n"))).alias("plain"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(coalesce(text, ''), '. ', '-' || chr(10)), '([\\p{L}\\p{N}_]+)-\\s*\\n\\s*([\\p{L}\\p{N}_]+)', '\\1\\2', 'g') AS healed FROM documents")
+def heal_hyphens(s, d):
+    return FX.table(s, d, "documents").select("doc_id", X.heal_hyphens(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit("-\n"))).alias("healed"))
+
+
+@query(f"SELECT {_ID}, x0, top, x1, bottom FROM shapes")
+def bbox_from_metadata(s, d):
+    f = FX.shapes(s, d)
+    md = F.concat(F.lit("x at coords: bbox=["), F.concat_ws(", ", *(F.col(c).cast("string") for c in _XY)), F.lit("]"))
+    return f.select(*PAGE, "seq", *(c.alias(n) for c, n in zip(X.bbox_from_metadata(md), _XY, strict=True)))
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, regexp_extract(metadata, '_(\\d+)$', 1)::BIGINT AS n FROM items WHERE metadata IS NOT NULL")
+def metadata_ordinal(s, d):
+    return FX.items(s, d).where("metadata is not null").select(*PAGE, "ord", X.metadata_ordinal(F.col("metadata")).cast("long").alias("n"))
+
+
+@query(f"SELECT {_ID}, round_even(x0 / 4, 0)::BIGINT AS b0, round_even(top / 4, 0)::BIGINT AS b1 FROM shapes")
+def compress_bbox(s, d):
+    return FX.shapes(s, d).select(*PAGE, "seq", X.compress(F.col("x0") / 4).alias("b0"), X.compress(F.col("top") / 4).alias("b1"))
+
+
+# -- documents ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, zone, n::BIGINT AS n FROM zones")
+def exclusion_zones(s, d):
+    return D.exclusion_zones(FX.items(s, d), FX.item_pages(s, d))
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord FROM normed i WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.doc_id = i.doc_id AND z.zone = i.zone)")
+def strip_exclusion(s, d):
+    i = FX.items(s, d)
+    return D.strip_exclusion(i, D.exclusion_zones(i, FX.item_pages(s, d))).select(*PAGE, "ord")
+
+
+_LINK = """SELECT i.doc_id, i.page_number, i.ord AS image_ord, t.ord, t.text, CASE WHEN i.top - t.bottom BETWEEN -15 AND 60 THEN 'a' ELSE 'b' END AS side FROM items i JOIN items t
+  ON i.doc_id = t.doc_id AND i.page_number = t.page_number AND i.type = 'image' AND t.type <> 'image' AND t.x0 < i.x1 + 20 AND t.x1 > i.x0 - 20 AND (i.top - t.bottom BETWEEN -15 AND 60 OR t.top - i.bottom BETWEEN -15 AND 60)"""
+
+
+def _side(k):
+    return f"regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (side = '{k}'), ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT {KEY}, image_ord::BIGINT AS image_ord, {_side('a')} AS text_above, {_side('b')} AS text_below FROM ({_LINK}) GROUP BY doc_id, page_number, image_ord")
+def semantic_link(s, d):
+    return D.semantic_link(FX.items(s, d))
+
+
+@query(f"SELECT doc_id, count(DISTINCT (page_number, image_ord))::BIGINT AS n FROM ({_LINK}) GROUP BY 1")
+def linked_image_count(s, d):
+    return D.semantic_link(FX.items(s, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, round(threshold, 4) AS threshold FROM doc_high")
+def doc_heading_threshold(s, d):
+    return D.doc_heading_threshold(FX.items(s, d))
+
+
+def _typed(s, d):
+    i = FX.items(s, d)
+    return D.promote(i, D.doc_heading_threshold(i))
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, node_type FROM typed")
+def promote_headings(s, d):
+    return _typed(s, d).select(*PAGE, "ord", "node_type")
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, type, coalesce(text, '') AS text, metadata FROM items")
+def finalize_items(s, d):
+    i = FX.items(s, d)
+    text = i.where("type <> 'image'").select(*PAGE, "ord", "type", "text")
+    image = i.where("type = 'image'").select(*PAGE, "ord", "type", "metadata")
+    return text.unionByName(image, allowMissingColumns=True).select(*PAGE, "ord", "type", F.coalesce("text", F.lit("")).alias("text"), "metadata")
+
+
+# -- graph ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, parent_ord::BIGINT AS parent_ord FROM stack")
+def heading_parent(s, d):
+    return R.heading_parent(_typed(s, d))
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, parent_ord::BIGINT AS parent_ord FROM bodies")
+def body_parent(s, d):
+    return R.body_parent(_typed(s, d))
+
+
+@query("SELECT doc_id, node_id, t, c, page_number::BIGINT AS page_number, ord::BIGINT AS ord, num::BIGINT AS num, round(font_size, 4) AS font_size, b0::BIGINT AS b0, b1::BIGINT AS b1, b2::BIGINT AS b2, b3::BIGINT AS b3 FROM nodes")
+def weave_nodes(s, d):
+    return R.weave_nodes(_typed(s, d), FX.item_pages(s, d))
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord, f, t, r FROM edges")
+def weave_edges(s, d):
+    return R.weave_edges(_typed(s, d), FX.item_pages(s, d))
+
+
+@query(f"""SELECT n.doc_id, n.page_number::BIGINT AS page_number, n.ord::BIGINT AS node_ord, p.ord::BIGINT AS text_ord FROM typed n JOIN typed p ON n.doc_id = p.doc_id AND n.page_number = p.page_number AND n.node_type = 'image' AND p.node_type = 'paragraph' AND p.ord < n.ord
+  AND p.x0 < n.x1 AND p.x1 > n.x0 AND (p.top - n.bottom BETWEEN 0 AND 60 OR n.top - p.bottom BETWEEN 0 AND 60)""")
+def spatial_anchor(s, d):
+    return R.spatial_anchor(_typed(s, d))
+
+
+@query("""SELECT n.doc_id, n.page_number::BIGINT AS page_number, n.ord::BIGINT AS node_ord, p.page_number::BIGINT AS text_page, p.ord::BIGINT AS text_ord FROM typed n JOIN typed p ON n.doc_id = p.doc_id AND n.node_type = 'image' AND p.node_type = 'paragraph'
+  AND (p.page_number < n.page_number OR (p.page_number = n.page_number AND p.ord < n.ord)) AND contains(lower(p.text), 'fig') AND regexp_matches(p.text, '(?i)Fig.*?' || regexp_extract(n.metadata, '_(\\d+)$', 1))""")
+def keyword_anchor(s, d):
+    return R.keyword_anchor(_typed(s, d))
+
+
+@query("SELECT e.f, e.t, e.r, a.t AS f_type, b.t AS t_type FROM g_edges e JOIN g_nodes a ON a.node_id = e.f JOIN g_nodes b ON b.node_id = e.t")
+def adjacency(s, d):
+    return R.adjacency(*FX.graph(s, d)).drop("doc_id")
+
+
+@query("SELECT t, count(*)::BIGINT AS n_in FROM g_edges GROUP BY 1")
+def in_degree(s, d):
+    return R.in_degree(FX.graph(s, d)[1]).drop("doc_id")
+
+
+@query("SELECT node_id, t, substr(c, 1, 100) || '...' AS line FROM g_nodes n WHERE t <> 'root' AND NOT EXISTS (SELECT 1 FROM g_edges e WHERE e.t = n.node_id)")
+def orphan_nodes(s, d):
+    return R.orphans(*FX.graph(s, d)).drop("doc_id")
+
+
+def _woven(s, d):
+    typed, pages = _typed(s, d), FX.item_pages(s, d)
+    return R.weave_nodes(typed, pages), R.weave_edges(typed, pages)
+
+
+_CLEAN = "regexp_replace(replace(c, chr(10), ' '), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path)::BIGINT AS pos, level::BIGINT AS level,
+  repeat('  ', level) || CASE WHEN t IN ('root', 'page', 'heading') THEN '[FOLDER]' ELSE '[FILE]' END || ' [' || upper(t) || '] ' || CASE WHEN length({_CLEAN}) > 80 THEN substr({_CLEAN}, 1, 80) || '...' ELSE {_CLEAN} END AS line FROM tree""")
+def tree_lines(s, d):
+    return R.tree_lines(*_woven(s, d), depth=8)
+
+
+@query()
+def html_render(s, d):
+    return R.html_render(*_woven(s, d))
+
+
+# -- sinks ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, ord)::BIGINT AS image_id, coalesce(metadata, '') AS base64_data FROM items WHERE type = 'image'")
+def image_sidecars(s, d):
+    return D.numbered(FX.items(s, d), "image").select("doc_id", F.col("n").alias("image_id"), F.coalesce("metadata", F.lit("")).alias("base64_data"))
+
+
+@query("SELECT doc_id % 100 AS doc_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id)::BIGINT AS table_id, to_json(data)::VARCHAR AS data FROM tabs")
+def table_sidecars(s, d):
+    t = FX.tables(s, d).selectExpr("doc_id % 100 as doc_id", "doc_id as page_number", "0 as ord", "'table' as type", "to_json(data) as data")
+    return D.numbered(t, "table").select("doc_id", F.col("n").alias("table_id"), "data")
+
+
+@query(f"""SELECT {KEY}, ord::BIGINT AS ord, type, text, CASE WHEN type = 'image' THEN 'image_' || n || '.json' END AS image_file
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY page_number, ord) AS n FROM items)""")
+def main_document(s, d):
+    i = FX.items(s, d)
+    img = D.numbered(i, "image").withColumn("image_file", F.concat(F.lit("image_"), F.col("n"), F.lit(".json"))).select(*PAGE, "ord", "type", "text", "image_file")
+    return i.where("type <> 'image'").select(*PAGE, "ord", "type", "text").unionByName(img, allowMissingColumns=True)
+
+
+@query()
+def pages_json(s, d):
+    from ..sources.sinks import pages_json as to_json
+
+    return to_json(FX.items(s, d))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reading_order(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
