@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int =
     have none. Rows that repeat a doc_id keep their places on the line; which of several equal rows is where
     does not matter. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    docs = cut(docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))  # texts are read once
     targets = source_targets(docs, weights, most)
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     line = docs.where("size > 0").withColumn("key", key).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
