@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +24,18 @@ def ascii_lower(col):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back from there.
 
     The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
-    temporary folder serves. Lost executors can't lose these files.
+    temporary folder serves. Lost executors can't lose these files, and plans built on them stay small (a
+    checkpoint's plan keeps the constraints of what it came from, which grow with every round of a loop).
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

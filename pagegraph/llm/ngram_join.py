@@ -6,12 +6,15 @@ sees at most one difference, so of its three second-level parts two agree: their
 and each set enumerates all of them. Some details keep candidates few and results exact:
 
 - equal sets are one node (the node id is a hash of the set), so copies cost nothing after the first step;
-- features in very many sets (a fixed list of bounded length, any list would be right) are left out of the
-  signatures of sets that have more than k others, since dropping features never adds differences. Sets within
-  reach of a set without that many others use all features as well;
+- a list of frequent features (of bounded length; any list would be right) keeps shared passages from making
+  candidates. Dropping features never adds differences, so sets with more than k other ("rare") features sign by
+  these alone. Two sets of which one has no more than k of them are still found: if both have over k / 2, they
+  share a rare feature, and each is a signature of its own; else one has at most k / 2 (a "core" set, nearly all
+  frequent), and the two sign by all features, where only buckets with a core set count;
 - signatures over no features count only for sets that have too many of them to be sure of another one;
-- within a signature's bucket every node is compared with the least one; those that fail are compared with all
-  of the bucket. Two nodes that are both linked to the least one are connected already. All comparisons are exact.
+- within a signature's bucket every node is compared with the first (core) one. Where that leaves the bucket
+  unconnected, its other pairs that might join two components are compared by sketches inside a task, and those
+  that pass are compared exactly. Nothing else leaves a bucket, however large a group of copies is.
 """
 
 from __future__ import annotations
@@ -30,8 +33,13 @@ from .components import components
 
 SHINGLE = 5
 NUM, DEN = 4, 5  #: similarity of 4/5
-RUN_BYTES = 12 << 20
-FREQUENT_AT_MOST = 1_000_000
+RUN_BYTES = 4 << 20
+COUNT_BYTES = 16 << 20  #: features that occur twice in a run of so much text are counted as frequent
+SLAB = 1 << 19
+FREQUENT_AT_MOST = 4_000_000
+SKETCH = 64
+TILE = 2048
+FILTER_BITS = 1 << 24
 U = np.uint64
 _M = 0xD1342543DE82EF95
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,20 +60,32 @@ _POWERS: list = []
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lowered) and, per text, where its words begin (one more at the end)."""
+    hashes, at, i, n = [], [np.zeros(1, np.int64)], 0, len(offsets) - 1
+    found = 0
+    while i < n:  # texts go through in slabs: what a slab takes besides stays small
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLAB, side="right")) - 1)
+        h, starts = _slab_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        hashes.append(h)
+        at.append(starts[1:] + found)
+        found += len(h)
+        i = j
+    return np.concatenate(hashes) if hashes else np.zeros(0, U), np.concatenate(at)
+
+
+def _slab_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     solid = ~_SPACE[raw]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(raw))]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
     first[inner] |= solid[inner]
     starts = np.flatnonzero(first)
-    last = solid.copy()
     last[:-1] &= ~solid[1:]
     last[inner - 1] |= solid[inner - 1]
     ends = np.flatnonzero(last) + 1
     if not _POWERS or len(_POWERS[0]) < len(raw):
-        _POWERS[:] = _powers(max(len(raw), 1 << 22))
+        _POWERS[:] = _powers(max(len(raw), SLAB))
     up, down = _POWERS
     sums = np.zeros(len(raw) + 1, U)
     np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)], out=sums[1:])
@@ -113,11 +133,11 @@ def bands(most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(lo), np.array(hi)
 
 
-def signatures(elements: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of all sets as (48-bit signature, set number)."""
+def signatures(elements: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of all sets as (48-bit signature, set number, whether the set counts as core there)."""
     sizes = np.diff(offsets)
     if not len(elements):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool)
     lo, hi = bands(int(sizes.max()))
     band = np.searchsorted(lo, np.maximum(sizes, 1), side="right") - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -126,12 +146,23 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, frequent: np.ndarray)
         i = np.searchsorted(frequent, elements)
         rare = frequent[np.minimum(i, len(frequent) - 1)] != elements
     n_rare = np.bincount(owner[rare], minlength=len(sizes))
-    out, who = [], []
+    out, who, core = [], [], []
+
+    def put(sig: np.ndarray, doc: np.ndarray, is_core: np.ndarray) -> None:
+        out.append(mix64(sig) >> U(16))
+        who.append(doc)
+        core.append(is_core)
+
     for step in (0, 1):  # the instance of the own band, and of the band below
         instance = band - step
         k = hi[np.maximum(instance, 0)] * (DEN - NUM) // NUM
-        usable = (sizes > 0) & (instance >= 0)
-        for mode, wants in ((0, n_rare > k), (1, n_rare <= 2 * k)):
+        usable = (sizes > 0) & (instance >= 0) & (k > 0)  # sets that may not differ at all are one node
+        tag = instance.astype(U) * U(4)
+        single = usable & (2 * n_rare > k) & (n_rare <= 2 * k)
+        use = single[owner] & rare
+        if use.any():
+            put(elements[use] + mix64(tag + U(3))[owner[use]], owner[use], np.ones(int(use.sum()), bool))
+        for mode, wants in ((0, n_rare > k), (1, 2 * n_rare <= 3 * k)):
             chosen = usable & wants
             if not chosen.any():
                 continue
@@ -140,7 +171,7 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, frequent: np.ndarray)
             slot0 = np.concatenate(([0], np.cumsum(3 * n1)))
             use = chosen[owner] & (rare if mode == 0 else True)
             e, o = elements[use], owner[use]
-            x = mix64(e + U(0x632BE59BD9B4E019) * (instance[o].astype(U) * U(2) + U(mode + 1)))
+            x = mix64(e + U(0x632BE59BD9B4E019) * (tag[o] + U(mode + 1)))
             part = ((x >> U(40)) * n1[o].astype(U) >> U(24)).astype(np.int64)
             sub = ((x & U(0xFFFFFF)) * U(3) >> U(24)).astype(np.int64)
             slot = slot0[o] + 3 * part + sub
@@ -153,26 +184,28 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, frequent: np.ndarray)
             weak = np.bincount(doc[(count == 0).any(axis=1)], minlength=len(sizes))
             odd = weak >= n1 - half
             number = np.arange(len(doc)) - (slot0[:-1] // 3)[doc]
-            tag = (((number[:, None] * 3 + np.arange(3)).astype(U) << U(12)) + (instance[doc].astype(U) * U(2) + U(mode))[:, None] + U(1)) * U(0x9E3779B97F4A7C15)
+            name = ((number[:, None] * 3 + np.arange(3)).astype(U) << U(12)) + (tag[doc] + U(mode))[:, None] + U(1)
             keep = (count > 0) | odd[doc][:, None]
-            out.append((mix64(sums + mix64(tag)) >> U(16))[keep])
-            who.append(np.broadcast_to(doc[:, None], keep.shape)[keep])
-    return (np.concatenate(out), np.concatenate(who)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
+            own = np.broadcast_to(doc[:, None], keep.shape)[keep]
+            put((sums + mix64(name * U(0x9E3779B97F4A7C15)))[keep], own, np.ones(len(own), bool) if mode == 0 else 2 * n_rare[own] <= k[own])
+    if not out:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(out), np.concatenate(who), np.concatenate(core)
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U).view(np.int64), pa.int64())
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """Batches gathered into runs of about RUN_BYTES (large ones are cut by rows)."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], run_bytes: int = RUN_BYTES) -> Iterator[pa.Table]:
+    """Batches gathered into runs of about ``run_bytes`` (large ones are cut by rows)."""
     held, size = [], 0
     for b in batches:
-        rows = max(1, b.num_rows * RUN_BYTES // max(1, b.nbytes))
+        rows = max(1, b.num_rows * run_bytes // max(1, b.nbytes))
         for i in range(0, b.num_rows, rows):
             held.append(b.slice(i, rows))
-            size += held[-1].get_total_buffer_size() if b.num_rows <= rows else RUN_BYTES
-            if size >= RUN_BYTES:
+            size += held[-1].get_total_buffer_size() if b.num_rows <= rows else run_bytes
+            if size >= run_bytes:
                 yield pa.Table.from_batches(held).select(columns)
                 held, size = [], 0
     if held:
@@ -200,57 +233,128 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _buckets(t: pa.Table) -> pa.Table:
-    """One signature range: stars (a, b) and, for buckets of three nodes or more, their members."""
+    """One signature range: stars (a, b) and, for buckets of three nodes or more, their members.
+
+    ``members`` holds the number of core nodes and then all nodes, core ones first.
+    """
     sig, node = [], []
     for blob in t.column("_data"):
         d = zstandard.ZstdDecompressor().decompress(blob.as_py())
         n, m = np.frombuffer(d, np.int64, 2)
         sig.append(_unpack(d[16 : 16 + 8 * n], n))
         names = np.frombuffer(d, U, m, 16 + 8 * n)
-        node.append(names[np.frombuffer(d, np.uint32, n, 16 + 8 * n + 8 * m)])
+        local = np.frombuffer(d, np.uint32, n, 16 + 8 * n + 8 * m)
+        node.append(np.stack([names[local >> 1], (local & 1).astype(U)], axis=1))
     sig, node = np.concatenate(sig), np.concatenate(node)
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
     same = np.zeros(len(sig) + 1, bool)
     same[1:-1] = sig[1:] == sig[:-1]
     keep = same[:-1] | same[1:]
-    sig, node = sig[keep], node[keep]
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    sig, node, late = sig[keep], node[keep, 0], node[keep, 1] == 0
+    order = np.lexsort((node, late, sig))
+    sig, node, late = sig[order], node[order], late[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    edge = np.concatenate((np.flatnonzero(np.diff(sig, prepend=sig[:1] + U(1)) != 0), [len(sig)])) if len(sig) else np.zeros(1, np.int64)
+    sig, node, late = sig[new], node[new], late[new]
+    none = np.zeros(0, U)
+    if not len(sig):
+        return pa.table({"a": _as_long(none), "b": _as_long(none), "members": pa.array([], pa.binary())})
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]))
     lengths = np.diff(edge)
-    lead = np.repeat(node[edge[:-1]], lengths) if len(sig) else node
-    pairs = np.unique(np.stack([lead, node], axis=1)[lead != node], axis=0) if len(sig) else np.zeros((0, 2), U)
+    begin = np.repeat(edge[:-1], lengths)
+    use = ~late[begin] & (np.arange(len(sig)) != begin)
+    pairs = np.unique(np.stack([node[begin], node], axis=1)[use], axis=0)
     lists: dict[bytes, int] = {}
-    for i in np.flatnonzero(lengths >= 3):
-        lists.setdefault(node[edge[i] : edge[i + 1]].tobytes(), int(node[edge[i]]))
+    for i in np.flatnonzero((lengths >= 3) & ~late[edge[:-1]]):
+        p, q = edge[i], edge[i + 1]
+        lists.setdefault(np.uint64((~late[p:q]).sum()).tobytes() + node[p:q].tobytes(), int(node[p]))
     a = np.concatenate([pairs[:, 0], np.array(list(lists.values()), U)])
     b = np.concatenate([pairs[:, 1], np.zeros(len(lists), U)])
     return pa.table({"a": _as_long(a), "b": _as_long(b), "members": pa.array([None] * len(pairs) + list(lists), pa.binary())})
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``similar`` by exact comparison of their sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("data").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("data").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+def _sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each of SKETCH buckets; sets differ in at least as many elements as their sketches do."""
+    return np.minimum(np.bincount((elements & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16).tobytes()
 
+
+def _filter_pairs(test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                shared = 0
-                if NUM * max(len(x), len(y)) <= DEN * min(len(x), len(y)):
-                    i = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    shared = int((y[i] == x).sum())
-                out.append(DEN * shared >= NUM * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+            keep = pa.array([test(*(v.as_py() for v in row)) for row in zip(*batch.columns[2:], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
+def _may_be(n: int, m: int, x: bytes, y: bytes) -> bool:
+    if NUM * max(n, m) > DEN * min(n, m):
+        return False
+    apart = int(np.abs(np.frombuffer(x, np.uint16).astype(np.int32) - np.frombuffer(y, np.uint16)).sum())
+    return (DEN + NUM) * apart <= (DEN - NUM) * (n + m) or max(n, m) >= 65535
+
+
+def _similar(n: int, m: int, x: bytes, y: bytes) -> bool:
+    a, b = _unpack_set(x, n), _unpack_set(y, m)
+    i = np.minimum(np.searchsorted(b, a), m - 1)
+    shared = int((b[i] == a).sum())
+    return DEN * shared >= NUM * (n + m - shared)
+
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")
+def _pack_set(elements: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes (two different ones of a pair agree once in some 10^9 pairs)."""
+    return zstandard.ZstdCompressor(level=1).compress(_pack(elements >> U(16)))
+
+
+def _unpack_set(data: bytes, n: int) -> np.ndarray:
+    return _unpack(zstandard.ZstdDecompressor().decompress(data), n)
+
+
+def _open_pairs(t: pa.Table) -> pa.Table:
+    """Pairs of a bucket (or of two of its tiles) in different components, one of them core, that sizes and sketches allow."""
+    node, root, n, core, second = (t.column(c).to_numpy() for c in ("node", "root", "n", "core", "second"))
+    h = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(n), SKETCH).astype(np.int32)
+    same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    own, other = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+    a, b = [], []
+    for i in own:
+        o = other[other > i] if same else other
+        o = o[(root[o] != root[i]) & (core[o] | core[i]) & (NUM * np.maximum(n[o], n[i]) <= DEN * np.minimum(n[o], n[i]))]
+        if len(o):
+            apart = np.abs(h[o] - h[i]).sum(axis=1)
+            o = o[((DEN + NUM) * apart <= (DEN - NUM) * (n[o] + n[i])) | (np.maximum(n[o], n[i]) >= 65535)]
+            a.append(np.minimum(node[o], node[i]))
+            b.append(np.maximum(node[o], node[i]))
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(np.concatenate([none, *a]), pa.int64()), "b": pa.array(np.concatenate([none, *b]), pa.int64())})
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, steps=(("n", "sketch"), ("n", "data"))) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: sizes and sketches rule out most others before sets are sent."""
+    for columns in steps:
+        left = sets.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+        right = sets.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+        both = pairs.join(left, "a").join(right, "b")
+        test = _may_be if "sketch" in columns else _similar
+        pairs = both.select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab")).mapInArrow(_filter_pairs(test), "a long, b long")
+    return pairs
+
+
+def _members(nodes: DataFrame) -> bytes:
+    """A filter of FILTER_BITS bits with the nodes' bits set; of fixed size, so it may reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            x = b.column("node").to_numpy().view(U) % U(FILTER_BITS)
+            np.bitwise_or.at(bits, (x >> U(3)).astype(np.int64), np.left_shift(1, x & U(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in nodes.select("node").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zstandard.decompress(bytes(row.bits)), np.uint8)
+    return zstandard.compress(out.tobytes(), 1)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -264,10 +368,10 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     sc = spark.sparkContext
     docs = docs.select("doc_id", F.col(text).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    enough = max(32, total // 6 // FREQUENT_AT_MOST)
+    enough = max(16, total // 6 // FREQUENT_AT_MOST)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["doc_id", "text"]):
+        for t in _runs(batches, ["doc_id", "text"], COUNT_BYTES):
             elements, offsets = shingle_sets(t.column("text"))
             ids = node_ids(elements, offsets)
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(np.diff(offsets), pa.int64()), _as_long(ids), pa.nulls(len(ids), pa.int64())], names=["doc_id", "n_shingles", "node", "feature"])
@@ -292,49 +396,56 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
         for t in _runs(batches, ["text"]):
             ids, elements, offsets = _distinct_sets(t, "text")
-            sig, who = signatures(elements, offsets, common)
+            sig, who, core = signatures(elements, offsets, common)
             order = np.argsort(sig)
-            sig, who = sig[order], who[order]
+            sig, who, core = sig[order], who[order], core[order]
             cuts = np.searchsorted(sig, (np.arange(1, ranges, dtype=U) * U((1 << 48) // ranges)))
             out_r, out_d = [], []
             for r, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(sig)], strict=True)):
                 if j > i:
                     names, local = np.unique(who[i:j], return_inverse=True)
                     out_r.append(r)
-                    out_d.append(packer.compress(np.array([j - i, len(names)], np.int64).tobytes() + _pack(sig[i:j]) + ids[names].tobytes() + local.astype(np.uint32).tobytes()))
+                    out_d.append(packer.compress(np.array([j - i, len(names)], np.int64).tobytes() + _pack(sig[i:j]) + ids[names].tobytes() + (local.ravel().astype(np.uint32) << 1 | core[i:j]).astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out_r, pa.int64()), pa.array(out_d, pa.binary())], names=["_range", "_data"])
 
     found = docs.select("text").mapInArrow(emit, "_range long, _data binary").groupBy("_range").applyInArrow(_buckets, "a long, b long, members binary")
     found = cut(found)
     stars = found.where("members is null").select("a", "b").distinct()
     involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holder = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node")
+    wanted = sc.broadcast(_members(involved))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, ["node", "text"]):
-            elements, offsets = shingle_sets(t.column("text"))
-            right = node_ids(elements, offsets).view(np.int64) == t.column("node").to_numpy()
-            data = [elements[offsets[i] : offsets[i + 1]].tobytes() for i in np.flatnonzero(right)]
-            yield pa.RecordBatch.from_arrays([t.column("node").combine_chunks().filter(pa.array(right)), pa.array(data, pa.binary())], names=["node", "data"])
+        bits = np.frombuffer(zstandard.decompress(wanted.value), np.uint8)
+        for t in _runs(batches, ["text"]):
+            ids, elements, offsets = _distinct_sets(t, "text")
+            x = ids % U(FILTER_BITS)
+            own = np.flatnonzero(bits[(x >> U(3)).astype(np.int64)] >> (x & U(7)).astype(np.uint8) & 1)
+            parts = [elements[offsets[i] : offsets[i + 1]] for i in own]
+            columns = [_as_long(ids[own]), pa.array([len(e) for e in parts], pa.int64()), pa.array(map(_sketch, parts), pa.binary()), pa.array(map(_pack_set, parts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "data"])
 
-    sets = cut(docs.join(holder, "doc_id").select("node", "text").mapInArrow(sets_of, "node long, data binary").dropDuplicates(["node"]))
-    checked = cut(_verify(stars, sets))
-    failed = checked.where("not similar").groupBy("a").agg(F.collect_set("b").alias("others"))
+    sets = docs.select("text").mapInArrow(sets_of, "node long, n long, sketch binary, data binary")
+    sets = cut(sets.join(involved, "node", "left_semi").dropDuplicates(["node"]))
+    links = cut(_verify(stars, sets))
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
+            for members in batch.column("members"):
                 m = np.frombuffer(members.as_py(), U)
-                bad = np.intersect1d(m, np.array(others.as_py(), np.int64).view(U))
-                for i in range(0, len(bad), 256):
-                    x, y = np.repeat(bad[i : i + 256], len(m) - 1), np.tile(m[1:], min(256, len(bad) - i))
-                    twice = np.isin(y, bad) & (y <= x)
-                    yield pa.RecordBatch.from_arrays([_as_long(x[~twice]), _as_long(y[~twice])], names=["a", "b"])
-
-    lists = found.where("members is not null").select("a", "members").join(failed, "a")
-    rest = lists.select("members", "others").mapInArrow(cross, "a long, b long").distinct()
-    links = checked.unionByName(_verify(rest, sets)).where("similar").select("a", "b")
-    roots = components(links)
+                n, pos = len(m) - 1, np.arange(len(m) - 1)
+                name = mix64(m[1:] + pos.astype(U)).sum(dtype=U, keepdims=True) + m[0]
+                yield pa.RecordBatch.from_arrays([_as_long(np.repeat(name, n)), pa.array(pos // TILE, pa.int32()), pa.array(np.full(n, -(-n // TILE)), pa.int32()), pa.array(pos < int(m[0]), pa.bool_()), _as_long(m[1:])], names=["bucket", "t", "tiles", "core", "node"])
+
+    # What a bucket's first node left unconnected is compared within the bucket, by sketches; large buckets go in
+    # pairs of tiles. Only pairs that may be similar and would join two components leave a task.
+    left = found.where("members is not null").select("members").mapInArrow(spread, "bucket long, t int, tiles int, core boolean, node long")
+    left = left.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    left = left.join(still, "bucket", "left_semi").join(sets.select("node", "n", "sketch"), "node")
+    left = left.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.select("bucket", F.least("t", "s").alias("i"), F.greatest("t", "s").alias("j"), (F.col("t") > F.col("s")).alias("second"), "core", "node", "root", "n", "sketch")
+    pairs = left.groupBy("bucket", "i", "j").applyInArrow(_open_pairs, "a long, b long").distinct()
+    roots = components(links.unionByName(_verify(pairs, sets, (("n", "data"),))))
     labelled = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
