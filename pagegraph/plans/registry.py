@@ -17,6 +17,7 @@ from ..operators import graph as R
 from ..operators import layout as L
 from ..operators import tables as TB
 from . import fixtures as FX
+from . import pipeline as PL
 from .oracles import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,6 +456,37 @@ def _woven(s, d):
     return R.weave_nodes(typed, pages), R.weave_edges(typed, pages)
 
 
+_NODE = "substr(sha256({0}.doc_id || '/' || {0}.page_number || '/' || {0}.ord), 1, 16)"
+
+
+@query(f"""SELECT n.doc_id, n.node_type || '_' || {_NODE.format('n')} AS f, 'paragraph_' || {_NODE.format('p')} AS t, 'visual_evidence' AS r FROM typed n JOIN typed p ON n.doc_id = p.doc_id AND n.page_number = p.page_number AND n.node_type = 'image' AND p.node_type = 'paragraph' AND p.ord < n.ord
+  AND p.x0 < n.x1 AND p.x1 > n.x0 AND (p.top - n.bottom BETWEEN 0 AND 60 OR n.top - p.bottom BETWEEN 0 AND 60)
+  UNION ALL SELECT n.doc_id, n.node_type || '_' || {_NODE.format('n')}, 'paragraph_' || {_NODE.format('p')}, 'keyword_anchor' FROM typed n JOIN typed p ON n.doc_id = p.doc_id AND n.node_type = 'image' AND p.node_type = 'paragraph'
+  AND (p.page_number < n.page_number OR (p.page_number = n.page_number AND p.ord < n.ord)) AND contains(lower(p.text), 'fig') AND regexp_matches(p.text, '(?i)Fig.*?' || regexp_extract(n.metadata, '_(\\d+)$', 1))""")
+def anchor_edges(s, d):
+    return PL.anchors(_typed(s, d)).select("doc_id", "f", "t", "r")
+
+
+@query(f"SELECT {KEY}, ord::BIGINT AS ord FROM normed i WHERE type <> 'image' AND NOT EXISTS (SELECT 1 FROM zones z WHERE z.doc_id = i.doc_id AND z.zone = i.zone)")
+def tidy_items(s, d):
+    return PL.tidy(FX.items(s, d), FX.item_pages(s, d)).where("type <> 'image'").select(*PAGE, "ord")
+
+
+@query()
+def linked_items(s, d):
+    return PL.link(FX.items(s, d)).select(*PAGE, "ord", "type", "semantic_context.text_above", "semantic_context.text_below")
+
+
+@query("SELECT 'orphans' AS finding, 0::BIGINT AS n UNION ALL SELECT 'dangling', 0 UNION ALL SELECT 'lines', count(*) FROM nodes")
+def audit_findings(s, d):
+    lines, orphans, dangling = PL.audit(*PL.weave(FX.items(s, d), FX.item_pages(s, d)))
+    out = None
+    for name, df in (("orphans", orphans), ("dangling", dangling), ("lines", lines)):
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("finding"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _CLEAN = "regexp_replace(replace(c, chr(10), ' '), '^\\s+|\\s+$', '', 'g')"
 
 

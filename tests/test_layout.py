@@ -11,6 +11,7 @@ from pagegraph.operators import glyphs as G
 from pagegraph.operators import graph as R
 from pagegraph.operators import layout as L
 from pagegraph.operators import tables as TB
+from pagegraph.plans import pipeline as PL
 from pagegraph.sources import readers, sinks
 from pagegraph.streaming.files import parse_arrivals
 
@@ -208,6 +209,16 @@ def test_graph_is_connected_and_escaped(spark, tmp_path):
     sinks.write_pages(df, str(tmp_path / "p"))
 
 
+def test_weave_compat(spark):
+    rows = [item(0, "paragraph", "see Figure 3", (0.0, 0.0, 50.0, 40.0)), item(1, "image", box=(0.0, 60.0, 50.0, 150.0), md="p_3")]
+    df = spark.createDataFrame(rows, ITEM).drop("node_type")
+    pages = spark.createDataFrame([(1, 1)], "doc_id long, page_number int")
+    kinds = lambda compat: sorted(r.r for r in PL.weave(df, pages, compat=compat)[1].collect())
+    assert kinds(False) == ["body_text", "body_text", "contains", "keyword_anchor", "visual_evidence"]
+    assert kinds(True) == ["body_text", "body_text", "contains"]
+    assert [r.semantic_context.text_above for r in PL.link(df).where("type = 'image'").collect()] == ["see Figure 3"]
+
+
 def test_files_and_arrivals(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"1")
     (tmp_path / "bad.pdf").write_bytes(b"!")
