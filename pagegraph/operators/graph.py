@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PAGE, Layout
 from ..functions.text import compress, heal_hyphens, metadata_ordinal, strip_ws
+from ..sources.scratch import cut
 
 
 def heading_parent(items: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
@@ -112,19 +113,20 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def tree_lines(nodes: DataFrame, edges: DataFrame, depth: int = 12) -> DataFrame:
     """Pre-order lines of every document's tree: doc_id, pos (from 1), level, line.
 
-    One join per level from the roots down (at most ``depth`` of them: the guard against cycles); each path
-    collects its children's places (top, then edge order), and sorting paths gives pre-order. The joined edges
-    are kept, as every level reads them.
+    One join per level from the roots down until a level is empty (at most ``depth`` levels: the guard against
+    cycles), each level written as a scratch table, so plans stay small. A path collects its children's places
+    (top, then edge order), and sorting paths gives pre-order.
     """
     kids = edges.where(F.col("r").isin("contains", "body_text", "sub_content")).select("doc_id", F.col("f").alias("parent"), F.col("t").alias("node_id"), F.col("page_number").alias("e_page"), F.col("ord").alias("e_ord"))
-    n = nodes.select("doc_id", "node_id", "t", "c", F.coalesce("b1", F.lit(0)).alias("top"))
-    child = kids.join(n, ["doc_id", "node_id"]).persist()
+    n = cut(nodes.select("doc_id", "node_id", "t", "c", F.coalesce("b1", F.lit(0)).alias("top")))
+    child = cut(kids.join(n, ["doc_id", "node_id"]))
     place = F.struct(F.col("top"), F.col("e_page").alias("page"), F.col("e_ord").alias("ord"))
-    level = n.where("t = 'root'").select("doc_id", "node_id", "t", "c", F.array().cast("array<struct<top:int,page:int,ord:int>>").alias("path"), F.lit(0).alias("level"))
-    every = level
+    every = level = n.where("t = 'root'").select("doc_id", "node_id", "t", "c", F.array().cast("array<struct<top:int,page:int,ord:int>>").alias("path"), F.lit(0).alias("level"))
     for k in range(1, depth + 1):
         up = level.select("doc_id", F.col("node_id").alias("parent"), F.col("path").alias("p"))
-        level = child.join(up, ["doc_id", "parent"]).select("doc_id", "node_id", "t", "c", F.array_append("p", place).alias("path"), F.lit(k).alias("level"))
+        level = cut(child.join(up, ["doc_id", "parent"]).select("doc_id", "node_id", "t", "c", F.array_append("p", place).alias("path"), F.lit(k).alias("level")))
+        if level.isEmpty():
+            break
         every = every.unionByName(level)
     clean = strip_ws(F.replace(F.col("c"), F.lit("\n"), F.lit(" ")))
     text = F.when(F.length(clean) > 80, F.concat(clean.substr(1, 80), F.lit("..."))).otherwise(clean)

@@ -210,12 +210,12 @@ def test_graph_is_connected_and_escaped(spark, tmp_path):
 
 
 def test_weave_compat(spark):
-    rows = [item(0, "paragraph", "see Figure 3", (0.0, 0.0, 50.0, 40.0)), item(1, "image", box=(0.0, 60.0, 50.0, 150.0), md="p_3")]
+    rows = [item(0, "paragraph", "see Figure 3", (0.0, 0.0, 50.0, 40.0)), item(1, "image", box=(0.0, 60.0, 50.0, 150.0), md="p_3"), item(2, "heading", "H", (300.0, 500.0, 400.0, 520.0), size=20.0)]
     df = spark.createDataFrame(rows, ITEM).drop("node_type")
     pages = spark.createDataFrame([(1, 1)], "doc_id long, page_number int")
     kinds = lambda compat: sorted(r.r for r in PL.weave(df, pages, compat=compat)[1].collect())
-    assert kinds(False) == ["body_text", "body_text", "contains", "keyword_anchor", "visual_evidence"]
-    assert kinds(True) == ["body_text", "body_text", "contains"]
+    assert kinds(False) == ["body_text", "body_text", "contains", "contains", "keyword_anchor", "visual_evidence"]
+    assert kinds(True) == ["body_text", "body_text", "contains", "contains"]
     assert [r.semantic_context.text_above for r in PL.link(df).where("type = 'image'").collect()] == ["see Figure 3"]
 
 
