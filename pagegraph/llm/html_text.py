@@ -27,11 +27,13 @@ VOID = {*"area base br col embed hr img input link meta param source track wbr".
 MAIN = {"article", "main"}
 #: Words of class, id and role values that mark regions which are no main text.
 NOISE = {*"ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related share sharing social comment comments respond disqus cookie cookies consent notice newsletter subscribe subscription signup login popup modal pagination pager toolbar skip hidden contentinfo complementary search".split()}
+#: Beginnings of class names that say something about a page's other regions.
+ABOUT = {"has", "with", "no", "without", "is", "js"}
 # Frequent words of English, German, French and Spanish.
 STOP = {*"the of and to in a is that it for on was as with by at from this are be or an which not have he his they i you we but had has were their its if will would can there what all about when so no more out up into than them then some could these two may other only new do any".split(), *"der die das und in zu den von mit ist im für auf nicht ein eine als auch an es dem sich des er sie dass aus bei war nach wird sind noch wie einem über einen so zum haben nur oder aber vor zur bis mehr durch man sein wurde".split(), *"de la le et les des en un une du que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son aux d l s cette été mais comme elle nous vous leur sans entre deux même".split(), *"de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos".split()}
 
 LINKS, DENSE, SPARSE, LONG, SHORT = 0.4, 0.2, 0.1, 140, 50
-_TAG = re.compile(r"<(?:(!--)|(![^>]*>|\?[^>]*>)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
+_TAG = re.compile(r"<(?:(!--)|(![^>]*>|\?[^>]*>)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)")
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])|(aria-hidden)\s*=\s*[\"']?true|(style)\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none)", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -42,9 +44,10 @@ def _noisy(attributes: str) -> bool:
     for m in _ATTR.finditer(attributes):
         if m[5] or m[6] or m[7]:
             return True
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if not NOISE.isdisjoint(_PARTS.findall(value)):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = _PARTS.findall(name)
+            if parts and parts[0] not in ABOUT and not NOISE.isdisjoint(parts):
+                return True
     return False
 
 
@@ -118,6 +121,9 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                     dropped -= stack.pop(i)[1]
                     anchors -= 1
                     break
+        if name == "body":  # whatever stood open before it has ended
+            stack.clear()
+            dropped = anchors = main = 0
         region = name in DROP or _noisy(m[5]) and name not in ("html", "body", *MAIN)
         stack.append((name, region))
         dropped += region

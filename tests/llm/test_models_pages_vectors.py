@@ -113,6 +113,8 @@ def test_html_rules(spark):
     plain = "<body><div><a href=1>Home</a> <a href=2>News</a></div><p>" + "It is the case that this was for all of you. " * 5 + "</p><p>Short one</p><div class='sidebar'>x</div><p>" + "And that is what they have to do. " * 6 + "</p><ul><li><a href=3>Link list</a></ul>"
     assert H.main_text(plain).split("\n\n")[1] == "Short one" and "Home" not in H.main_text(plain) and "Link" not in H.main_text(plain)
     assert H.inherit(["short", "bad", "short", "short", "good"]) == ["bad", "bad", "bad", "good", "good"] and H.inherit(["short"]) == ["good"]
+    assert H.main_text("<head><title>x</title><body class='has-sidebar'><div class='with-ads no-js'><p>Text here</p></div><p class=ad>Buy</p>") == "Text here"
+    assert H.main_text("<p>a < b and <b>c</b><p class=\"x>y") .startswith("a < b and c")
     long = "<article><p>" + "word " * 60_000 + "</p></article>"
     df = spark.createDataFrame([(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, None), (3, "", long, 1)], "page_id long, url string, html string, n_chars int")
     got = H.extract(df).collect()
