@@ -37,7 +37,7 @@ RUN_BYTES = 4 << 20
 COUNT_BYTES = 16 << 20  #: features that occur twice in a run of so much text are counted as frequent
 SLAB = 1 << 19
 FREQUENT_AT_MOST = 4_000_000
-SKETCH = 64
+SKETCH = 256
 TILE = 2048
 FILTER_BITS = 1 << 24
 U = np.uint64
@@ -276,7 +276,12 @@ def _buckets(t: pa.Table) -> pa.Table:
 
 def _sketch(elements: np.ndarray) -> bytes:
     """How many elements fall into each of SKETCH buckets; sets differ in at least as many elements as their sketches do."""
-    return np.minimum(np.bincount((elements & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount((elements & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of the differences of sketches: no more than the number of elements in which the sets differ."""
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=-1, dtype=np.int64)
 
 
 def _filter_pairs(test):
@@ -291,8 +296,7 @@ def _filter_pairs(test):
 def _may_be(n: int, m: int, x: bytes, y: bytes) -> bool:
     if NUM * max(n, m) > DEN * min(n, m):
         return False
-    apart = int(np.abs(np.frombuffer(x, np.uint16).astype(np.int32) - np.frombuffer(y, np.uint16)).sum())
-    return (DEN + NUM) * apart <= (DEN - NUM) * (n + m) or max(n, m) >= 65535
+    return (DEN + NUM) * int(_apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))) <= (DEN - NUM) * (n + m)
 
 
 def _similar(n: int, m: int, x: bytes, y: bytes) -> bool:
@@ -314,7 +318,7 @@ def _unpack_set(data: bytes, n: int) -> np.ndarray:
 def _open_pairs(t: pa.Table) -> pa.Table:
     """Pairs of a bucket (or of two of its tiles) in different components, one of them core, that sizes and sketches allow."""
     node, root, n, core, second = (t.column(c).to_numpy() for c in ("node", "root", "n", "core", "second"))
-    h = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(n), SKETCH).astype(np.int32)
+    h = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(n), SKETCH)
     same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
     own, other = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
     a, b = [], []
@@ -322,8 +326,7 @@ def _open_pairs(t: pa.Table) -> pa.Table:
         o = other[other > i] if same else other
         o = o[(root[o] != root[i]) & (core[o] | core[i]) & (NUM * np.maximum(n[o], n[i]) <= DEN * np.minimum(n[o], n[i]))]
         if len(o):
-            apart = np.abs(h[o] - h[i]).sum(axis=1)
-            o = o[((DEN + NUM) * apart <= (DEN - NUM) * (n[o] + n[i])) | (np.maximum(n[o], n[i]) >= 65535)]
+            o = o[(DEN + NUM) * _apart(h[o], h[i]) <= (DEN - NUM) * (n[o] + n[i])]
             a.append(np.minimum(node[o], node[i]))
             b.append(np.maximum(node[o], node[i]))
     none = np.zeros(0, np.int64)
