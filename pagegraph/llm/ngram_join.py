@@ -39,6 +39,7 @@ SLAB = 1 << 19
 FREQUENT_AT_MOST = 4_000_000
 SKETCH = 256
 TILE = 2048
+LOT = 65_536  #: members of buckets with the same first node that one task compares
 FILTER_BITS = 1 << 24
 U = np.uint64
 _M = 0xD1342543DE82EF95
@@ -316,21 +317,30 @@ def _unpack_set(data: bytes, n: int) -> np.ndarray:
 
 
 def _open_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of a bucket (or of two of its tiles) in different components, one of them core, that sizes and sketches allow."""
-    node, root, n, core, second = (t.column(c).to_numpy() for c in ("node", "root", "n", "core", "second"))
-    h = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(n), SKETCH)
+    """Pairs of some buckets (or of two tiles of them) in different components, one of them core, that sizes and sketches allow.
+
+    Buckets with the same first node share most of their pairs: they come together, and a pair leaves once.
+    """
+    bucket, nodes, roots, sizes, cores, seconds = (t.column(c).to_numpy() for c in ("bucket", "node", "root", "n", "core", "second"))
+    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), SKETCH)
     same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-    own, other = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-    a, b = [], []
-    for i in own:
-        o = other[other > i] if same else other
-        o = o[(root[o] != root[i]) & (core[o] | core[i]) & (NUM * np.maximum(n[o], n[i]) <= DEN * np.minimum(n[o], n[i]))]
-        if len(o):
-            o = o[(DEN + NUM) * _apart(h[o], h[i]) <= (DEN - NUM) * (n[o] + n[i])]
-            a.append(np.minimum(node[o], node[i]))
-            b.append(np.maximum(node[o], node[i]))
-    none = np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(np.concatenate([none, *a]), pa.int64()), "b": pa.array(np.concatenate([none, *b]), pa.int64())})
+    order = np.argsort(bucket, kind="stable")
+    found = np.zeros((0, 2), np.int64)
+    held: list[np.ndarray] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        node, root, n, core, h = nodes[rows], roots[rows], sizes[rows], cores[rows], sketches[rows]
+        second = seconds[rows]
+        own, other = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
+        for i in own:
+            o = other[other > i] if same else other
+            o = o[(root[o] != root[i]) & (core[o] | core[i]) & (NUM * np.maximum(n[o], n[i]) <= DEN * np.minimum(n[o], n[i]))]
+            if len(o):
+                o = o[(DEN + NUM) * _apart(h[o], h[i]) <= (DEN - NUM) * (n[o] + n[i])]
+                held.append(np.stack([np.minimum(node[o], node[i]), np.maximum(node[o], node[i])], axis=1))
+        if sum(map(len, held)) > 500_000:
+            found, held = np.unique(np.concatenate([found, *held]), axis=0), []
+    found = np.unique(np.concatenate([found, *held]), axis=0)
+    return pa.table({"a": pa.array(found[:, 0].copy(), pa.int64()), "b": pa.array(found[:, 1].copy(), pa.int64())})
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, steps=(("n", "sketch"), ("n", "data"))) -> DataFrame:
@@ -437,17 +447,19 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
                 m = np.frombuffer(members.as_py(), U)
                 n, pos = len(m) - 1, np.arange(len(m) - 1)
                 name = mix64(m[1:] + pos.astype(U)).sum(dtype=U, keepdims=True) + m[0]
-                yield pa.RecordBatch.from_arrays([_as_long(np.repeat(name, n)), pa.array(pos // TILE, pa.int32()), pa.array(np.full(n, -(-n // TILE)), pa.int32()), pa.array(pos < int(m[0]), pa.bool_()), _as_long(m[1:])], names=["bucket", "t", "tiles", "core", "node"])
+                yield pa.RecordBatch.from_arrays([_as_long(np.repeat(name, n)), pa.array(pos // TILE, pa.int32()), pa.array(np.full(n, -(-n // TILE)), pa.int32()), pa.array(pos < int(m[0]), pa.bool_()), _as_long(m[1:]), _as_long(np.repeat(m[1:2], n))], names=["bucket", "t", "tiles", "core", "node", "leader"])
 
     # What a bucket's first node left unconnected is compared within the bucket, by sketches; large buckets go in
     # pairs of tiles. Only pairs that may be similar and would join two components leave a task.
-    left = found.where("members is not null").select("members").mapInArrow(spread, "bucket long, t int, tiles int, core boolean, node long")
+    left = found.where("members is not null").select("members").mapInArrow(spread, "bucket long, t int, tiles int, core boolean, node long, leader long")
     left = left.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    left = left.join(still, "bucket", "left_semi").join(sets.select("node", "n", "sketch"), "node")
+    left = left.join(still, "bucket", "left_semi")
+    lots = left.groupBy("leader").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    left = left.join(lots, "leader").withColumn("lot", F.pmod("bucket", "lots")).join(sets.select("node", "n", "sketch"), "node")
     left = left.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = left.select("bucket", F.least("t", "s").alias("i"), F.greatest("t", "s").alias("j"), (F.col("t") > F.col("s")).alias("second"), "core", "node", "root", "n", "sketch")
-    pairs = left.groupBy("bucket", "i", "j").applyInArrow(_open_pairs, "a long, b long").distinct()
+    left = left.select("leader", "lot", "bucket", F.least("t", "s").alias("i"), F.greatest("t", "s").alias("j"), (F.col("t") > F.col("s")).alias("second"), "core", "node", "root", "n", "sketch")
+    pairs = left.groupBy("leader", "lot", "i", "j").applyInArrow(_open_pairs, "a long, b long").distinct()
     roots = components(links.unionByName(_verify(pairs, sets, (("n", "data"),))))
     labelled = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
