@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from .common import mix64, table, text_buffers
 from .ngram_join import word_hashes
 
-BUCKETS = 4096  #: per family of 3-grams
-SAMPLE = 6000  #: labelled rows that a model is fitted on, at most; those with the least hashes of doc_id
-SLAB = 4 << 20
+BUCKETS = 2048  #: per family of 3-grams, a power of two
+SAMPLE = 4000  #: labelled rows that a model is fitted on, at most; those with the least hashes of doc_id
+SLAB = 1 << 20
 TAIL = 0.5
 REPEATS = 8  #: buckets for repeated words: as the word before, within the last 2, 4, 8, 16, 32 words, new to these, all
 U = np.uint64
@@ -34,7 +34,7 @@ _SHAPE[0x41:0x5B] = 0x41
 _SHAPE[0x61:0x7B] = 0x61
 _SHAPE[0x80:] = 0x61
 _MIX = [mix64(np.arange(256, dtype=U) * U(0x9E3779B97F4A7C15) + U(i)) for i in range(1, 4)]
-_COLUMNS = [(m >> U(52)).astype(np.uint16) for m in _MIX]
+_COLUMNS = [(m >> U(65 - BUCKETS.bit_length())).astype(np.uint16) for m in _MIX]
 
 
 def _grams(x: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     """
     chosen = labels.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").cast("double").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("grade", "_text").toArrow()
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "_text").toArrow().sort_by("doc_id")
     y = rows.column("grade").to_numpy()
     return fit(features(rows.column("_text")), y)
 
