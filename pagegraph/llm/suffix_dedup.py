@@ -20,6 +20,8 @@ lost task is simply run again.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, partitions, table, text_buffers
+from .common import mix64, partitions, release, table, text_buffers
 
 WIDTH, GRAM = 200, 100
 BACK = WIDTH - GRAM  #: the most bytes by which a shared string can start before its sampled suffix
@@ -184,18 +186,21 @@ def front_code(rows: np.ndarray, multi: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.uint32(n).tobytes() + lcp.tobytes() + multi.astype(np.uint8).tobytes() + rest.tobytes())
 
 
-def front_decode(blob: bytes, width: int = WIDTH + BACK) -> tuple[list[bytes], list[int], np.ndarray]:
+def front_decode(blob: bytes, width: int = WIDTH + BACK) -> tuple[Iterator[tuple[bytes, int]], np.ndarray]:
+    """Rows with their common prefix lengths, one by one, and the flags of all."""
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, np.uint32, 1)[0])
-    lcp = np.frombuffer(data, np.uint16, n, 4).tolist()
-    multi = np.frombuffer(data, np.uint8, n, 4 + 2 * n) > 0
-    at, last, out = 4 + 3 * n, b"", []
-    for k in lcp:
-        to = at + width - k
-        last = last[:k] + data[at:to]
-        out.append(last)
-        at = to
-    return out, lcp, multi
+    lcp = np.frombuffer(data, np.uint16, n, 4)
+
+    def rows() -> Iterator[tuple[bytes, int]]:
+        at, last = 4 + 3 * n, b""
+        for k in lcp.tolist():
+            to = at + width - k
+            last = last[:k] + data[at:to]
+            yield last, k
+            at = to
+
+    return rows(), np.frombuffer(data, np.uint8, n, 4 + 2 * n) > 0
 
 
 def _common(a: bytes, b: bytes, k: int) -> int:
@@ -210,11 +215,12 @@ def _common(a: bytes, b: bytes, k: int) -> int:
     return n
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]):
-    """Loser tree over sorted runs of (rows, common prefix with the row before); yields (prefix, run, index).
+def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, int, bytes]]:
+    """Loser tree over sorted runs of (row, common prefix with the row before); yields (prefix, run, row).
 
     Each stream's current row carries its common prefix length with the last row put out. Of two rows the one
-    with the longer prefix is smaller; only on equal lengths are bytes compared, from there on.
+    with the longer prefix is smaller; only on equal lengths are bytes compared, from there on. No stream holds
+    more than its current row.
     """
     k = len(runs)
     if not k:
@@ -222,11 +228,9 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
     size = 1
     while size < k:
         size *= 2
-    rows = [r for r, _ in runs]
-    prefixes = [p for _, p in runs]
-    index = [0] * size
-    current: list[bytes | None] = [rows[i][0] if i < k and rows[i] else None for i in range(size)]
-    shared = [0 if c is not None else -1 for c in current]
+    heads = [next(r, None) for r in runs] + [None] * (size - k)
+    current: list[bytes | None] = [h[0] if h else None for h in heads]
+    shared = [0 if h else -1 for h in heads]
     loser = [0] * size
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -251,12 +255,8 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
         winners[node], loser[node] = play(winners[2 * node], winners[2 * node + 1])
     w = winners[1] if size > 1 else 0
     while shared[w] >= 0:
-        yield shared[w], w, index[w]
-        i = index[w] = index[w] + 1
-        if i < len(rows[w]):
-            current[w], shared[w] = rows[w][i], prefixes[w][i]
-        else:
-            current[w], shared[w] = None, -1
+        yield shared[w], w, current[w]
+        current[w], shared[w] = next(runs[w], (None, -1))
         node = (w + size) >> 1
         while node:
             other = loser[node]
@@ -328,21 +328,24 @@ def _gram_answers(t: pa.Table) -> pa.Table:
 def _suffix_answers(t: pa.Table) -> pa.Table:
     """For one range: merge the runs, find the repeats, answer every run."""
     runs, rng = t.column("_run").to_pylist(), t.column("_range")[0].as_py()
-    decoded = [front_decode(b.as_py()) for b in t.column("_data")]
+    streams, flags = zip(*(front_decode(b.as_py()) for b in t.column("_data")), strict=True)
     width = WIDTH + BACK
-    prefix, owner, distinct, multi, number = [], [], [], [], []
-    for h, w, i in merge([(rows, lcp) for rows, lcp, _ in decoded]):
-        if h == width and distinct:
-            multi[-1] = True
+    distinct, prefix, multi, owner, number = bytearray(), array("h"), bytearray(), array("i"), array("q")
+    seen = [0] * len(runs)
+    for h, w, row in merge(list(streams)):
+        again = flags[w][seen[w]]
+        seen[w] += 1
+        if h == width and prefix:
+            multi[-1] = 1
         else:
-            distinct.append(decoded[w][0][i])
+            distinct += row
             prefix.append(h)
-            multi.append(bool(decoded[w][2][i]))
-        owner.append((w, i))
-        number.append(len(distinct) - 1)
-    rows = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, width)
-    found = np.empty((len(distinct), 2), np.uint8)
-    prefix_, multi_ = np.array(prefix, np.int64), np.array(multi, bool)
+            multi.append(bool(again))
+        owner.append(w)
+        number.append(len(prefix) - 1)
+    rows = np.frombuffer(distinct, np.uint8).reshape(-1, width)
+    found = np.empty((len(rows), 2), np.uint8)
+    prefix_, multi_ = np.array(prefix, np.int64), np.frombuffer(multi, np.uint8) > 0
     # classes of equal grams are evaluated in slices of whole classes
     cuts = np.concatenate((np.flatnonzero(prefix_ < GRAM), [len(prefix_)]))
     a = 0
@@ -350,12 +353,14 @@ def _suffix_answers(t: pa.Table) -> pa.Table:
         b = int(cuts[max(np.searchsorted(cuts, a + 16384, side="right") - 1, np.searchsorted(cuts, a, side="right"))])
         found[a:b] = starts_before(rows[a:b], prefix_[a:b].copy(), multi_[a:b])
         a = b
-    number = np.array(number, np.int64)
-    w, i = np.array(owner, np.int64).T if owner else np.zeros((2, 0), np.int64)
-    order = np.lexsort((i, w))
+    w, number = np.array(owner, np.int64), np.array(number, np.int64)
+    order = np.argsort(w, kind="stable")  # a run's rows come out in its own order
     w, number = w[order], number[order]
     edges = np.searchsorted(w, np.arange(len(runs) + 1))
-    return _answers([(run, 2, rng, found[number[edges[k] : edges[k + 1]]].tobytes()) for k, run in enumerate(runs)])
+    out = _answers([(run, 2, rng, found[number[edges[k] : edges[k + 1]]].tobytes()) for k, run in enumerate(runs)])
+    del streams, flags, distinct, rows, owner, w, number, order
+    release()
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -370,13 +375,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True,
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
     docs = docs.drop(*new, "_run")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n_runs, ranges = max(1, -(-total // run_bytes)), 2 * partitions(spark)
+    n_runs, ranges = max(1, -(-total // run_bytes)), 6 * partitions(spark)
     dealt = docs.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)))
     fields = [*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in new[:3]), *(T.StructField(c, T.StringType()) for c in new[3:])]
 
     def grams(t: pa.Table) -> pa.Table:
         run = t.column("_run")[0].as_py()
-        return _answers([(run, 0, r, d) for r, d in Run(t.column(text), ranges).gram_blocks()])
+        out = _answers([(run, 0, r, d) for r, d in Run(t.column(text), ranges).gram_blocks()])
+        release()
+        return out
 
     def answers_of(t: pa.Table, kind: int) -> dict[int, bytes]:
         return {r: d for k, r, d in zip(t.column("_kind").to_pylist(), t.column("_range").to_pylist(), t.column("_data").to_pylist(), strict=True) if k == kind}
@@ -386,7 +393,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True,
             return _answers([])
         run, x = t.column("_run")[0].as_py(), Run(t.column(text), ranges)
         x.keep_repeated(answers_of(back, 1))
-        return _answers([(run, 0, r, d) for r, d in x.suffix_blocks()])
+        out = _answers([(run, 0, r, d) for r, d in x.suffix_blocks()])
+        del x
+        release()
+        return out
 
     def apply(t: pa.Table, back: pa.Table) -> pa.Table:
         x = Run(t.column(text), ranges)

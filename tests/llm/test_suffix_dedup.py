@@ -51,7 +51,7 @@ def test_loser_tree():
         for _ in range(k):
             rows = sorted({bytes(rng.choices(b"ab", k=12)) for _ in range(rng.randint(0, 40))})
             runs.append((rows, [0, *(S._common(a, b, 0) for a, b in zip(rows, rows[1:], strict=False))][: len(rows)]))
-        got = [(h, runs[w][0][i]) for h, w, i in S.merge(runs)]
+        got = [(h, row) for h, _, row in S.merge([iter(list(zip(rows, lcps, strict=True))) for rows, lcps in runs])]
         want = sorted(r for rows, _ in runs for r in rows)
         assert [r for _, r in got] == want
         assert [h for h, _ in got] == [0, *(S._common(a, b, 0) for a, b in zip(want, want[1:], strict=False))][: len(want)]
