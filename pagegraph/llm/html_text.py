@@ -34,20 +34,25 @@ STOP = {*"the of and to in a is that it for on was as with by at from this are b
 
 LINKS, DENSE, SPARSE, LONG, SHORT = 0.4, 0.2, 0.1, 140, 50
 _TAG = re.compile(r"<(?:(!--)|(![^>]*>|\?[^>]*>)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)")
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])|(aria-hidden)\s*=\s*[\"']?true|(style)\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none)", re.I)
+#: An attribute: its name, then the value in double quotes, in single quotes or bare.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
 
 def _noisy(attributes: str) -> bool:
+    """Whether an element is hidden, or its class, id or role names a region which is no main text."""
     for m in _ATTR.finditer(attributes):
-        if m[5] or m[6] or m[7]:
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDES.search(value):
             return True
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
-            parts = _PARTS.findall(name)
-            if parts and parts[0] not in ABOUT and not NOISE.isdisjoint(parts):
-                return True
+        if name in ("class", "id", "role"):
+            for word in html.unescape(value).lower().split():
+                parts = _PARTS.findall(word)
+                if parts and parts[0] not in ABOUT and not NOISE.isdisjoint(parts):
+                    return True
     return False
 
 

@@ -122,6 +122,13 @@ def test_html_rules(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_html_attributes():
+    for kept in ("style='overflow:hidden'", 'title="A hidden gem"', "href=/hidden/path", 'href="/x?id=comment"', "data-class='ad'", 'title="class=ad"', "data-hidden", "aria-hidden='false'", 'style="--x:display:none"', 'class="" title="ad"'):
+        assert H.main_text(f"<p>Before</p><div {kept}><p>Kept</p></div><p>It is <a {kept}>one</a> of the many words that we have in this place for all of you to read</p>") == "Before\n\nKept\n\nIt is one of the many words that we have in this place for all of you to read", kept
+    for gone in ("hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display : none'", "class=ad", "title='x' id = \"comments\"", "role=navigation"):
+        assert H.main_text(f"<p>Before</p><div {gone}><p>Gone</p></div>") == "Before", gone
+
+
 def test_html_matches_documents(spark):
     """Pages of the test tables hold documents: their words must come out, and nothing of the rest."""
     import html
