@@ -2,9 +2,10 @@
 
 A scanner cuts a page into text blocks at block-level tags, leaving out what can't be text (scripts, styles,
 comments, forms) and boilerplate regions (navigation, headers, footers, asides, and elements whose class, id or
-role names such a region). Where a page marks its article, only blocks inside are considered. Pass one classes
-blocks by stop-word density, length and link density as good, bad or short; in pass two short blocks inherit
-the label of their nearest decided neighbours. Inside a marked article a block is bad by link density only.
+role names such a region). Pass one classes every block by stop-word density, length and link density as good, bad
+or short; in pass two short blocks inherit the label of their nearest decided neighbours. An article or main element
+is a prior: inside it pass one asks for less, and undecided blocks need bad neighbours on both sides to be bad;
+beside it undecided blocks need good neighbours that stand outside too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MAIN = {"article", "main"}
 NOISE = {*"ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related share sharing social comment comments respond disqus cookie cookies consent notice newsletter subscribe subscription signup login popup modal pagination pager toolbar skip hidden contentinfo complementary search".split()}
 #: Beginnings of class names that say something about a page's other regions.
 ABOUT = {"has", "with", "no", "without", "is", "js"}
+#: Beginnings and ends of class names that say something about an article's subject or state.
+SUBJECT, STATE = {"tag", "category", "term", "topic"}, {"open", "closed"}
 # Frequent words of English, German, French and Spanish.
 STOP = {*"the of and to in a is that it for on was as with by at from this are be or an which not have he his they i you we but had has were their its if will would can there what all about when so no more out up into than them then some could these two may other only new do any".split(), *"der die das und in zu den von mit ist im für auf nicht ein eine als auch an es dem sich des er sie dass aus bei war nach wird sind noch wie einem über einen so zum haben nur oder aber vor zur bis mehr durch man sein wurde".split(), *"de la le et les des en un une du que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son aux d l s cette été mais comme elle nous vous leur sans entre deux même".split(), *"de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos".split()}
 
@@ -42,7 +45,7 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
 
-def _noisy(attributes: str) -> bool:
+def _noisy(attributes: str, article: bool = False) -> bool:
     """Whether an element is hidden, or its class, id or role names a region which is no main text."""
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -51,18 +54,20 @@ def _noisy(attributes: str) -> bool:
         if name in ("class", "id", "role"):
             for word in html.unescape(value).lower().split():
                 parts = _PARTS.findall(word)
+                if article and parts and (parts[0] in SUBJECT or parts[-1] in STATE):
+                    continue
                 if parts and parts[0] not in ABOUT and not NOISE.isdisjoint(parts):
                     return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks outside dropped regions: (text, letters inside links, inside a marked article)."""
-    out: list[tuple[str, int, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, int]]:
+    """Blocks outside dropped regions: (text, letters inside links, number of the outermost article or main around it or 0)."""
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements and whether each starts a dropped region
-    dropped = anchors = main = 0
+    dropped = anchors = main = section = 0
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -70,7 +75,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, main > 0))
+                out.append((text, linked, section if main else 0))
             parts.clear()
         linked = 0
 
@@ -129,23 +134,25 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         if name == "body":  # whatever stood open before it has ended
             stack.clear()
             dropped = anchors = main = 0
-        region = name in DROP or _noisy(m[5]) and name not in ("html", "body", *MAIN)
+        region = name in DROP or name not in ("html", "body") and _noisy(m[5], name in MAIN)
         stack.append((name, region))
         dropped += region
         anchors += name == "a"
-        main += name in MAIN
+        if name in MAIN:
+            section += not main
+            main += 1
     flush()
     return out
 
 
 def classify(text: str, linked: int, marked: bool) -> str:
-    """First pass: good, bad, or short (undecided)."""
+    """First pass: good, bad, or short (undecided). Marked blocks are good from the lower density on, and bad by links alone."""
     if linked > LINKS * len(text):
         return "bad"
-    if marked:
-        return "good"
     words = _WORD.findall(text.lower())
     density = sum(w in STOP for w in words) / max(1, len(words))
+    if marked:
+        return "good" if density >= SPARSE else "short"
     if len(text) < SHORT:
         return "bad" if linked else "short"
     if density >= DENSE or density >= SPARSE and len(text) >= LONG:
@@ -153,8 +160,11 @@ def classify(text: str, linked: int, marked: bool) -> str:
     return "bad" if density < SPARSE and linked else "short"
 
 
-def inherit(labels: list[str]) -> list[str]:
-    """Second pass: short blocks take the label that their nearest decided neighbours share; of two, the nearer; of two as near, good. With none decided they are good."""
+def inherit(labels: list[str], marked: bool = False, default: str = "good") -> list[str]:
+    """Second pass: short blocks take the label that their nearest decided neighbours share; of two, the nearer; of two as near, good. With none decided they have the default.
+
+    Marked ones are bad between two bad ones only.
+    """
     n, before, after = len(labels), [None] * len(labels), [None] * len(labels)
     last = None
     for i in range(n):
@@ -170,8 +180,10 @@ def inherit(labels: list[str]) -> list[str]:
     for i, label in enumerate(labels):
         if label == "short":
             b, a = before[i], after[i]
-            if b is None and a is None:
-                label = "good"
+            if marked:
+                label = "bad" if b is not None and a is not None and labels[a] == labels[b] == "bad" else "good"
+            elif b is None and a is None:
+                label = default
             elif b is None or a is None:
                 label = labels[a if b is None else b]
             elif labels[a] == labels[b]:
@@ -185,10 +197,16 @@ def inherit(labels: list[str]) -> list[str]:
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for null, empty or text-free pages."""
     found = blocks(page or "")
-    if any(marked for _, _, marked in found):
-        found = [b for b in found if b[2]]
-    labels = inherit([classify(*b) for b in found])
-    return "\n\n".join(text for (text, _, _), label in zip(found, labels, strict=True) if label == "good")
+    groups: dict[int, list[int]] = {}
+    for i, (_, _, section) in enumerate(found):
+        groups.setdefault(section, []).append(i)
+    good: list[int] = []
+    for section in sorted(groups, reverse=True):  # what is outside comes last
+        at = groups[section]
+        first = [classify(found[i][0], found[i][1], section > 0) for i in at]
+        second = inherit(first, section > 0, "bad" if good else "good")
+        good += [i for i, label in zip(at, second, strict=True) if label == "good"]
+    return "\n\n".join(found[i][0] for i in sorted(good))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

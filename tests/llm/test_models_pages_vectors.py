@@ -129,6 +129,20 @@ def test_html_attributes():
         assert H.main_text(f"<p>Before</p><div {gone}><p>Gone</p></div>") == "Before", gone
 
 
+PROSE = "It is the case that this was for all of you and that is what they have to do. " * 4
+
+
+def test_html_article_is_a_prior():
+    text, teaser = PROSE.strip(), "One more thing that you may read."
+    got = H.main_text(f"<body><div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><div><article><p>{teaser}</p></article></div><p>&copy; Firm</p>")
+    assert got.startswith(f"Title\n\n{text}\n\n{text}") and teaser in got
+    page = f"<main><h1>Title</h1><p>17</p><p>{PROSE}</p><pre>x = 1</pre></main>%s<div><p>Firm</p></div>"
+    assert H.main_text(page % "<article class='comment'><p>I disagree with all of it.</p></article>") == f"Title\n\n17\n\n{text}\n\nx = 1"
+    assert H.main_text("<article class='post tag-ads comments-open'><p>Text</p></article>") == "Text"
+    links = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    assert H.main_text(f"<article><h1>Title</h1>{links}<h2>Links</h2>{links}<p>{PROSE}</p></article>") == f"Title\n\n{text}"
+
+
 def test_html_matches_documents(spark):
     """Pages of the test tables hold documents: their words must come out, and nothing of the rest."""
     import html
