@@ -1,8 +1,9 @@
 """HTML extraction: two-pass block rules.
 
 A scanner cuts a page into text blocks at block-level tags, leaving out what can't be text (scripts, styles,
-comments, forms) and boilerplate regions (navigation, headers, footers, asides, and elements whose class, id or
-role names such a region). Pass one classes every block by stop-word density, length and link density as good, bad
+comments, forms), boilerplate elements (navigation, headers, footers, asides) and what is hidden. A class, id or role
+that names a boilerplate region marks an element's text as bad, unless an article stands in the element or most of
+the page's dense text has the same name around it (``trusted``). Pass one classes every block by stop-word density, length and link density as good, bad
 or short; in pass two short blocks inherit the label of their nearest decided neighbours. An article or main element
 is a prior: inside it pass one asks for less, and undecided blocks need bad neighbours on both sides to be bad;
 beside it undecided blocks need good neighbours that stand outside too.
@@ -12,7 +13,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,48 +49,73 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 
 
-def _noisy(attributes: str, article: bool = False) -> bool:
-    """Whether an element is hidden, or its class, id or role names a region which is no main text."""
+def _says(attributes: str, article: bool = False) -> tuple[bool, list[str]]:
+    """Whether an element is hidden, and the words of its class, id and role that name a region which is no main text."""
+    hidden, names = False, []
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDES.search(value):
-            return True
+            hidden = True
         if name in ("class", "id", "role"):
             for word in html.unescape(value).lower().split():
                 parts = _PARTS.findall(word)
                 if article and parts and (parts[0] in SUBJECT or parts[-1] in STATE):
                     continue
                 if parts and parts[0] not in ABOUT and not NOISE.isdisjoint(parts):
-                    return True
-    return False
+                    names.append(word)
+    return hidden, names
 
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """Blocks outside dropped regions: (text, letters inside links, number of the outermost article or main around it or 0)."""
-    out: list[tuple[str, int, int]] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements and whether each starts a dropped region
-    dropped = anchors = main = section = 0
+@dataclass(eq=False)
+class Region:
+    """An element with names of NOISE; around: its names and those of the regions around it; holds: an article or main without such a name stands in it."""
+
+    names: list[str]
+    parent: Region | None
+    around: frozenset[str]
+    holds: bool = False
+    stays: bool | None = None
+
+
+class Piece(NamedTuple):
+    """A stretch of a block's text: inside a link, inside an article or main without names of NOISE, and the innermost region around it."""
+
+    text: str
+    link: bool
+    marked: bool
+    region: Region | None
+
+
+def pieces(page: str) -> list[tuple[int, list[Piece]]]:
+    """Blocks outside dropped elements, in pieces, each with the number of the outermost article or main around it or 0."""
+    out: list[tuple[int, list[Piece]]] = []
+    parts: list[Piece] = []
+    stack: list[tuple[str, bool, Region | None]] = []  # open elements, whether each is dropped, and the region that it starts
+    regions: list[Region | None] = [None]  # open ones, after a None
+    dropped = anchors = main = clean = section = 0
     at, size = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                out.append((text, linked, section if main else 0))
+            out.append((section if main else 0, parts.copy()))
             parts.clear()
-        linked = 0
+
+    def leave(i: int) -> None:
+        """Element i of the stack ends."""
+        nonlocal dropped, anchors, main, clean
+        name, drop, region = stack.pop(i)
+        dropped -= drop
+        anchors -= name == "a"
+        main -= name in MAIN
+        clean -= name in MAIN and region is None
+        if region is not None:
+            regions.remove(region)
 
     while at < size:
         m = _TAG.search(page, at)
         end = m.start() if m else size
         if end > at and not dropped:
-            piece = page[at:end]
-            parts.append(piece)
-            if anchors:
-                linked += len(_SPACE.sub(" ", html.unescape(piece)))
+            parts.append(Piece(page[at:end], anchors > 0, clean > 0, regions[-1]))
         if not m:
             break
         at = m.end()
@@ -102,11 +131,8 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for other, region in stack[i:]:
-                        dropped -= region
-                        anchors -= other == "a"
-                        main -= other in MAIN
-                    del stack[i:]
+                    for j in range(len(stack) - 1, i - 1, -1):
+                        leave(j)
                     break
             continue
         if name in RAW:
@@ -116,35 +142,95 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             at = close.end() if close else size
             continue
         if name == "br":
-            parts.append(" ")
+            parts.append(Piece(" ", False, clean > 0, regions[-1]))
             continue
         if name in BLOCK or name in DROP:
             flush()
         if name in VOID or m[5].endswith("/"):
             continue
         if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-            last, region = stack.pop()
-            dropped -= region
+            leave(len(stack) - 1)
         if name == "a" and anchors:  # links don't nest
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "a":
-                    dropped -= stack.pop(i)[1]
-                    anchors -= 1
+                    leave(i)
                     break
         if name == "body":  # whatever stood open before it has ended
             stack.clear()
-            dropped = anchors = main = 0
-        region = name in DROP or name not in ("html", "body") and _noisy(m[5], name in MAIN)
-        stack.append((name, region))
-        dropped += region
-        anchors += name == "a"
+            del regions[1:]
+            dropped = anchors = main = clean = 0
+        hidden, names = (False, []) if name in ("html", "body") or not m[5] else _says(m[5], name in MAIN)
+        drop = name in DROP or hidden
+        around = regions[-1].around if regions[-1] else frozenset()
+        region = Region(names, regions[-1], around if around.issuperset(names) else around.union(names)) if names and not drop else None
         if name in MAIN:
             section += not main
             main += 1
+            if region is None:
+                clean += 1
+                if not drop and not dropped:
+                    g = regions[-1]
+                    while g and not g.holds:
+                        g.holds, g = True, g.parent
+        stack.append((name, drop, region))
+        if region is not None:
+            regions.append(region)
+        dropped += drop
+        anchors += name == "a"
     flush()
     return out
 
 
+def join(parts: list[Piece]) -> tuple[str, int]:
+    """A block's text and its letters inside links."""
+    return _SPACE.sub(" ", html.unescape("".join(p.text for p in parts))).strip(), sum(len(_SPACE.sub(" ", html.unescape(p.text))) for p in parts if p.link)
+
+
+def trusted(found: list[tuple[int, list[Piece]]]) -> None:
+    """Sets ``stays`` of every region with text: it and all around it have an article or main in them, or only names that stand around more than half of the page's good text.
+
+    A name of nothing but words of NOISE (``comments``, no ``content-sidebar``) doesn't get the latter if text of an
+    article or main stands outside it: comments may well be longer than what they are about.
+    """
+    total, size, none = 0, Counter(), frozenset()
+    outside: set[frozenset[str]] = set()  # the names around the text of articles and main elements
+    for _, parts in found:
+        good = classify(*join(parts), False) == "good"
+        for p in parts:
+            names = p.region.around if p.region else none
+            if good:
+                total += len(p.text)
+                for n in names:
+                    size[n] += len(p.text)
+            if p.marked and p.text.strip():
+                outside.add(names)
+    common = Counter(n for names in outside for n in names)
+
+    def stays(g: Region) -> bool:
+        return g.holds or all(2 * size[n] > total and (not NOISE.issuperset(_PARTS.findall(n)) or common[n] == len(outside)) for n in g.names)
+
+    for g in (p.region for _, parts in found for p in parts):
+        chain = []
+        while g and g.stays is None:
+            chain.append(g)
+            g = g.parent
+        for g in reversed(chain):
+            g.stays = (g.parent is None or g.parent.stays) and stays(g)
+
+
+def blocks(page: str) -> list[tuple[str, int, int]]:
+    """Blocks without the text of boilerplate: (text, letters inside links, number of the outermost article or main around it or 0)."""
+    found, out = pieces(page), []
+    if any(p.region for _, parts in found for p in parts):
+        trusted(found)
+        found = [(section, [p for p in parts if not p.region or p.region.stays]) for section, parts in found]
+    for section, parts in found:
+        text, linked = join(parts)
+        if text:
+            out.append((text, linked, section))
+    return out
+
+
 def classify(text: str, linked: int, marked: bool) -> str:
     """First pass: good, bad, or short (undecided). Marked blocks are good from the lower density on, and bad by links alone."""
     if linked > LINKS * len(text):

@@ -143,6 +143,18 @@ def test_html_article_is_a_prior():
     assert H.main_text(f"<article><h1>Title</h1>{links}<h2>Links</h2>{links}<p>{PROSE}</p></article>") == f"Title\n\n{text}"
 
 
+def test_html_names_of_wrappers():
+    text = PROSE.strip()
+    for name in ("content-sidebar-wrap", "page-with-sidebar", "layout-sidebar", "elementor-widget-container", "widget", "comments"):
+        for inner in (f"<article><p>{PROSE}</p></article>", f"<p>{PROSE}</p>", f"<main><p>Few words</p></main><p>{PROSE}</p>"):
+            got = H.main_text(f"<div class={name}>{inner}<div class=sidebar><p>{PROSE[:60]}</p></div></div><div class=ad>And this is for you.</div>")
+            assert got == "\n\n".join(["Few words"] * ("Few" in inner) + [text]), (name, inner)
+    parts = "".join(f"<div class='elementor-widget-container'><p>{PROSE}</p></div>" for _ in range(5))
+    assert H.main_text(f"<div class=nav-menu><p>{PROSE}</p></div>{parts}") == "\n\n".join([text] * 5)
+    assert H.main_text(f"<article><p>{PROSE}</p></article><div id=comments>{f'<p>{PROSE}</p>' * 5}</div>") == text
+    assert H.main_text(f"<p>{PROSE}<span class=share>Share this</span></p>") == text
+
+
 def test_html_matches_documents(spark):
     """Pages of the test tables hold documents: their words must come out, and nothing of the rest."""
     import html
