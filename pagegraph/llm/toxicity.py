@@ -4,7 +4,8 @@ A string's features are the triples of its signs in order, each weighted by DECA
 inserted characters and gaps cost some of a match's weight and not all of it. Landmarks are words and beginnings
 of words in the training texts that tell toxic from other texts. A word's value at a landmark is their kernel
 over the landmark's own, at most 1: how much of the landmark the word holds; a text's is the greatest of its
-words'. The Nystroem map K^(-1/2) of the landmarks' normalised kernel makes these values features of a linear
+words' and of its windows of two or three neighbouring words read as one (split words), no longer than the landmark
+and SLACK letters. Values are graded: there is no floor. The Nystroem map K^(-1/2) of the landmarks' normalised kernel makes these values features of a linear
 machine with squared hinge loss, and a logistic fit on folds turns its margin into a probability.
 """
 
@@ -26,8 +27,8 @@ from .common import table
 
 LANDMARKS, SAMPLE = 64, 6000
 DECAY, REACH = 0.7, 7  #: triples span at most REACH letters
-FLOOR = 0.5  #: kernel values below count as 0
-CACHE = 600_000
+SLACK = 2  #: letters that joined words may have more than the landmark
+CHUNK = 8192  #: words that are read at once
 CUT = 0.3
 
 
@@ -39,16 +40,16 @@ def _letter(b: int) -> int:
 _LETTERS = bytes(map(_letter, range(256)))
 _DROP = bytes(b for b in range(256) if not (0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or 0x80 <= b <= 0xBF or b in b" \t\n\r\x0b\x0c"))
 START = b"\x80"  #: stands before every word, so that beginnings weigh more than what merely occurs inside
-_SPELLED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z] ){2,}[a-z](?=\s|$)")
+_SPELLED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z]\s++){2,}[a-z](?=\s|$)")
 #: Offsets of a triple's second and third letter, and its weight.
 _TRIPLES = [(i, j, DECAY ** (j + 1)) for j in range(2, REACH) for i in range(1, j)]
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The letters of each word as signs; letters spelled apart (``i d i o t``) are one word."""
+    """The letters of each word as signs; letters spelled apart (``i d i o t``, by any blanks) are one word."""
     raw = (text or "").encode().translate(_LETTERS, _DROP)
-    if b" " in raw and _SPELLED.search(raw):
-        raw = _SPELLED.sub(lambda m: m[0].replace(b" ", b""), raw)
+    if _SPELLED.search(raw):
+        raw = _SPELLED.sub(lambda m: b"".join(m[0].split()), raw)
     return raw.split()
 
 
@@ -72,30 +73,67 @@ class Kernel:
         own = [triples(m) for m in landmarks]
         square = [max(sum(w * w for w in t.values()), 1e-12) for t in own]
         self.gram = np.array([[sum(w * u.get(c, 0.0) for c, w in t.items()) / (p * q) ** 0.5 for u, q in zip(own, square, strict=True)] for t, p in zip(own, square, strict=True)])
-        codes = sorted({c for t in own for c in t})
-        self.row = np.full(1 << 15, -1, np.int32)
-        self.row[codes] = np.arange(len(codes))
-        self.table = np.array([[t.get(c, 0.0) / p for t, p in zip(own, square, strict=True)] for c in codes]).reshape(len(codes), len(landmarks))
-
-    def close(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
-        """The words with a value of at least FLOOR at some landmark, with their values (lower ones as 0)."""
-        out: dict[bytes, np.ndarray] = {}
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            raw = np.frombuffer(START + START.join(part), np.uint8).astype(np.int32) - 97
-            owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            sums = np.zeros((len(part), len(self.landmarks)))
-            for i, j, w in _TRIPLES:
-                if len(raw) <= j:
-                    continue
-                row = self.row[(raw[: len(raw) - j] << 10) | (raw[i : len(raw) - j + i] << 5) | raw[j:]]
-                at = np.flatnonzero((row >= 0) & (owner[: len(raw) - j] == owner[j:]))
-                if len(at):
-                    np.add.at(sums, owner[at], w * self.table[row[at]])
-            np.minimum(sums, 1.0, out=sums)
-            for p in np.flatnonzero(sums.max(axis=1, initial=0) >= FLOOR):
-                out[part[p]] = np.where(sums[p] >= FLOOR, sums[p], 0.0)
-        return out
+        held: dict[int, list[tuple[int, float]]] = {}
+        for k, (t, p) in enumerate(zip(own, square, strict=True)):
+            for c, w in t.items():
+                held.setdefault(c, []).append((k, w / p))
+        #: Per code the place of its (landmark, weight) entries and their number.
+        self.first, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        for c, entries in held.items():
+            self.count[c] = len(entries)
+        self.first[1:] = np.cumsum(self.count)[:-1]
+        entries = [e for c in sorted(held) for e in held[c]]
+        self.landmark, self.weight = np.array([k for k, _ in entries], np.int64), np.array([w for _, w in entries], float)
+        self.longest = np.array([len(m) + SLACK for m in landmarks])
+
+    def _sums(self, hits: list[tuple[np.ndarray, np.ndarray, float]], size: int) -> np.ndarray:
+        """Sums by landmark of weighted codes for each of ``size`` owners."""
+        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for code, owner, w in hits:
+            count = self.count[code]
+            total = int(count.sum())
+            at = np.repeat(self.first[code] - np.cumsum(count) + count, count) + np.arange(total)
+            keys.append(np.repeat(owner, count) * len(self.landmarks) + self.landmark[at])
+            weights.append(w * self.weight[at])
+        flat = np.bincount(np.concatenate(keys), np.concatenate(weights), size * len(self.landmarks))
+        return flat.reshape(size, len(self.landmarks))
+
+    def windows(self, words: list[bytes], text: np.ndarray) -> np.ndarray:
+        """Per word the greatest values of the windows of one to three words of its text that begin with it."""
+        n = len(words)
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) - 97
+        length = np.fromiter(map(len, words), np.int64, n)
+        owner, start = np.repeat(np.arange(n), length), np.cumsum(length) - length
+        inner: list[list] = [[], [], []]  # by the words from a triple's first letter to its last
+        begin: list[list] = [[], [], []]
+        for i, j, w in _TRIPLES:
+            if len(raw) > j:
+                code = raw[: len(raw) - j] << 10 | raw[i : len(raw) - j + i] << 5 | raw[j:]
+                at = np.flatnonzero(self.count[code])
+                apart = owner[at + j] - owner[at]
+                for d in range(3):
+                    on = at[apart == d]
+                    inner[d].append((code[on], owner[on], w))
+            at = np.flatnonzero(start + j - 1 < len(raw))
+            code = (START[0] - 97) << 10 | raw[start[at] + i - 1] << 5 | raw[start[at] + j - 1]
+            apart = owner[start[at] + j - 1] - at
+            for d in range(3):
+                on = (apart == d) & (self.count[code] > 0)
+                begin[d].append((code[on], at[on], w))
+        own, cross, far = (self._sums(h, n) for h in inner)
+        first = [self._sums(h, n) for h in begin]
+        value = own + first[0]
+        best = value.copy()
+        for d in (1, 2):
+            if n <= d:
+                break
+            value = value[:-1] + own[d:] + cross[d - 1 : n - 1] + first[d][: n - d]
+            if d == 2:
+                value += far[: n - 2]
+            joined = sum(length[k : n - d + k] for k in range(d + 1))
+            fits = (joined[:, None] <= self.longest) & (text[: n - d] == text[d:])[:, None]
+            np.maximum(best[: n - d], np.where(fits, value, 0.0), out=best[: n - d])
+        return np.minimum(best, 1.0, out=best)
 
 
 def nystroem(values: np.ndarray, whiten: np.ndarray) -> np.ndarray:
@@ -118,32 +156,31 @@ class Model:
 
 
 class Reader:
-    """Kernel values of texts, with a bounded memory of words seen."""
+    """Kernel values of texts."""
 
     def __init__(self, landmarks: list[bytes]):
         self.kernel = Kernel(landmarks)
-        self.seen: set[bytes] = set()
-        self.near: dict[bytes, np.ndarray] = {}
 
     def values(self, texts: list[str | None]) -> np.ndarray:
-        own = [set(words_of(t)) for t in texts]
-        if not self.kernel.landmarks:
-            return np.zeros((len(texts), 0))
-        fresh = set().union(*own) - self.seen if own else set()
-        if len(self.seen) + len(fresh) > CACHE:
-            self.seen, self.near = set(), {}
-            fresh = set().union(*own)
-        self.near |= self.kernel.close([w for w in fresh if len(w) > 2])
-        self.seen |= fresh
         out = np.zeros((len(texts), len(self.kernel.landmarks)))
-        for i, ws in enumerate(own):
-            for w in self.near.keys() & ws if len(self.near) < len(ws) else [w for w in ws if w in self.near]:
-                np.maximum(out[i], self.near[w], out=out[i])
+        if not self.kernel.landmarks:
+            return out
+        words: list[bytes] = []
+        count = []
+        for t in texts:
+            own = words_of(t)
+            count.append(len(own))
+            words += own
+        text = np.repeat(np.arange(len(texts)), count)
+        for k in range(0, len(words), CHUNK):
+            got = self.kernel.windows(words[k : k + CHUNK + 2], text[k : k + CHUNK + 2])[:CHUNK]
+            which, at = np.unique(text[k : k + CHUNK], return_index=True)
+            out[which] = np.maximum(out[which], np.maximum.reduceat(got, at, axis=0))
         return out
 
 
 def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int = LANDMARKS) -> list[bytes]:
-    """Words and beginnings of words (of four signs or more) that tell toxic texts apart.
+    """Words (of three signs or more) and beginnings of words (of four or more) that tell toxic texts apart.
 
     One at a time by log odds times the root of the weight of the toxic texts that have it; a text's weight halves
     with every landmark that it has. Of equal ones the longest comes first, and its own beginnings then go.
@@ -151,12 +188,12 @@ def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int = LAN
     have: dict[bytes, list[int]] = {}
     clean: Counter = Counter()
     for n, (t, y) in enumerate(zip(texts, toxic, strict=True)):
-        own = {w[:k] for w in set(words_of(t)) if len(w) > 3 for k in (*range(4, min(len(w), 10)), len(w))}
+        own = {w[:k] for w in set(words_of(t)) if len(w) > 2 for k in (*range(4, min(len(w), 10)), len(w))}
         if y:
             for w in own:
                 have.setdefault(w, []).append(n)
         else:
-            clean.update(own)
+            clean.update(own | {w[:3] for w in own})  # a word of three signs is found at the beginning of others too
     p, q = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     have = {w: at for w, at in have.items() if len(at) >= max(4, p // 50) and len(at) / p > 8 * clean[w] / q}
     odds = {w: float(np.log((len(at) + 0.1) / (p + 1) * (q + 1) / (clean[w] + 0.1))) for w, at in have.items()}

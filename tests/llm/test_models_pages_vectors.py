@@ -91,6 +91,37 @@ def test_toxicity_tolerates_gaps():
         assert score(f"{base} {w} {base}") >= 0.3, w
 
 
+def test_toxicity_tolerates_splits():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices(["th", "er", "on", "an", "re", "ing", "ed"], k=rng.randint(1, 4)))
+    bad = ["idiot", "scum", "moron", "zug"]
+    clean = [" ".join(word() for _ in range(60)) for _ in range(150)]
+    toxic = [" ".join(rng.sample([*(word() for _ in range(50)), *rng.choices(bad, k=3)], 53)) for _ in range(50)]
+    m = X.fit(clean + toxic, np.array([0] * 150 + [1] * 50))
+    assert {w.decode() for w in m.landmarks} >= set(bad)
+    score = lambda t: float(m.scores(X.Reader(m.landmarks).values([t]))[0])
+    for base in clean[:5]:
+        assert score(base) < 0.3
+        for w in ("id iot", "i * d * i * o * t", "i  d\n i o t", "sc um", "zug", "z u g", "i di ot"):
+            assert score(f"{base} {w} {base}") >= 0.3, w
+        for w in ("ixdxixoxt", "sxcxuxm"):
+            assert score(f"{base} {w} {base}") > score(f"{base} {base}"), w
+
+
+def test_toxicity_windows_match_the_kernel():
+    marks, words = [b"idiot", b"scum", b"zug"], [b"id", b"iot", b"a", b"scxum", b"i", b"di", b"ot", b"zu", b"g"]
+    k, text, own = X.Kernel(marks), np.array([0] * 4 + [1] * 5), [X.triples(m) for m in marks]
+    got = k.windows(words, text)
+    for a in range(len(words)):
+        for c, m in enumerate(marks):
+            best = 0.0
+            for n in (1, 2, 3):
+                one = b"".join(words[a : a + n])
+                if a + n <= len(words) and text[a] == text[a + n - 1] and (n == 1 or len(one) <= len(m) + X.SLACK):
+                    best = max(best, sum(w * own[c].get(t, 0.0) for t, w in X.triples(one).items()) / sum(w * w for w in own[c].values()))
+            assert abs(got[a, c] - min(1.0, best)) < 1e-9, (words[a], m)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (None, "y")], "doc_id long, text string")
     for labels in ([], [(1, 1)], [(1, 0), (3, 1)], [(2, None)]):
