@@ -110,6 +110,73 @@ def test_urls(spark):
     assert got[10] == "block" and got[100] == "block" and got[179] == "allow"
 
 
+def brute_bounds(hosts):
+    """Bounds per site, domain and suffix, and of all, from (host, bad) by the formulas of the prior, level by level."""
+    rows = [(*slow_levels(h), y) for h, y in hosts if h is not None and y is not None]
+
+    def posterior(names, parent):
+        count = {}
+        for name, up, y in names:
+            n, bad, _ = count.get(name, (0, 0, up))
+            count[name] = n + 1, bad + y, up
+        spread = sum((b - n * parent[u]) ** 2 / (parent[u] * (1 - parent[u])) for n, b, u in count.values())
+        pairs = sum(n * (n - 1) for n, _, _ in count.values())
+        rho = max(0.001, min(0.5, (spread - len(names)) / pairs)) if pairs else 0.001
+        return {k: beta(parent[u] * (1 / rho - 1) + b, (1 - parent[u]) * (1 / rho - 1) + n - b) for k, (n, b, u) in count.items()}
+
+    def beta(a, b):
+        return a / (a + b), a / (a + b) - U.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+
+    mean = lambda found: {k: m for k, (m, _) in found.items()}
+    bad = sum(y for *_, y in rows)
+    top = beta(bad + 0.5, len(rows) - bad + 0.5)
+    suffix = posterior([(s, "", y) for _, _, s, y in rows], {"": top[0]})
+    domain = posterior([(d, s, y) for _, d, s, y in rows], mean(suffix))
+    return posterior([(h, d, y) for h, d, _, y in rows], mean(domain)), domain, suffix, top
+
+
+def slow_levels(host):
+    site = re.sub(r"\.$", "", re.sub(r":[0-9]*$", "", host.split("@")[-1]))
+    labels = site.split(".")
+    if site.startswith("[") or (len(labels) == 4 and all(x.isdigit() for x in labels)):
+        return site, site, site
+    k = next((k for k in (3, 2) if ".".join(labels[-k:]) in U.SUFFIXES and len(labels) >= k), 1)
+    return site, ".".join(labels[-k - 1 :]), ".".join(labels[-k:])
+
+
+def test_url_levels(spark):
+    hosts = ["", "h", "a.b", "x.a.b", "good.co.uk", "w.good.co.uk", "co.uk", "bad.biz:8080", "u:p@bad.biz:80", "bad.biz.", "192.168.0.1:80", "1.2.3.4", "1.2.3.4.5", "[::1]:80", "me.github.io", "é.com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in df.select(*U.levels(df.host)).collect()]
+    assert got == [slow_levels(h) for h in hosts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_shrinkage(spark, seed):
+    rng = random.Random(seed)
+    names = ["a.x.com", "b.x.com", "b.x.com:80", "y.com", "q.co.uk", "w.q.co.uk", "r.co.uk", "1.2.3.4", "solo"]
+    rate = {n: rng.random() for n in names}
+    hosts = [(h, int(rng.random() < rate[h])) for h in rng.choices(names, k=120)] + [(None, 1), ("y.com", None)]
+    site, domain, suffix, lower = U.host_reputation(spark.createDataFrame(hosts, "host string, bad int"))
+    want = brute_bounds(hosts)
+    for got, key, brute in ((site, "site", want[0]), (domain, "domain", want[1]), (suffix, "suffix", want[2])):
+        rows = {r[key]: (r.m, r.lower) for r in got.collect()}
+        assert rows.keys() == brute.keys()
+        assert all(abs(rows[k][i] - brute[k][i]) < 1e-9 for k in rows for i in (0, 1))
+    assert abs(lower - want[3][1]) < 1e-12
+
+
+def test_url_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 200_000), (1, "http://a.com/" + "x" * 200_000), (None, "http://u@b.com:80/p"), (3, None)], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    got = sorted((str(r.page_id), r.host, len(r.path), r.rule, r.verdict) for r in U.filter_urls(pages, none).collect())
+    assert got == [("1", "a.com", 200_001, None, "allow")] * 2 + [("3", "", 0, None, "allow"), ("None", "u@b.com:80", 2, None, "allow")]
+    assert U.filter_urls(pages.limit(0), spark.createDataFrame([(1, 1)], "page_id long, bad int")).count() == 0
+    many = spark.createDataFrame([(i, f"http://bad.biz:{i}/") for i in range(30)], pages.schema)
+    bad = spark.createDataFrame([(i, 1 if i < 20 else None) for i in range(30)], "page_id long, bad int")
+    assert {r.verdict for r in U.filter_urls(many, bad).collect()} == {"block"}
+
+
 def brute_leaks(text, items):
     words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
     hit, ids = set(), set()
