@@ -186,16 +186,73 @@ def test_html_names_of_wrappers():
     assert H.main_text(f"<p>{PROSE}<span class=share>Share this</span></p>") == text
 
 
-def test_html_matches_documents(spark):
-    """Pages of the test tables hold documents: their words must come out, and nothing of the rest."""
+def _article_words(page):
     import html
     import re
 
-    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(200).collect():
-        article = re.search(r"<article>(.*?)</article>", r.html, re.S)
-        if article:
-            want = html.unescape(re.sub(r"<[^>]*>", " ", article[1])).split()
-            assert H.main_text(r.html).split() == want, r.page_id
+    article = re.search(r"<article>(.*?)</article>", page, re.S)
+    return html.unescape(re.sub(r"<[^>]*>", " ", article[1])).split()
+
+
+def test_html_matches_documents(spark):
+    """Pages of the test tables hold documents: their words must come out, and nothing of the rest."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(400).collect():
+        assert H.main_text(r.html).split() == _article_words(r.html), r.page_id
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_html_rules_decide_without_marks(spark, monkeypatch, names):
+    """The same with no article element, and with no class names either: density, length, links and neighbours decide."""
+    if not names:
+        monkeypatch.setattr(H, "NOISE", set())
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        page = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert H.main_text(page).split() == _article_words(r.html), r.page_id
+
+
+NOISY = [
+    "<nav><ul><li><a href=/a>Home page</a></li><li><a href=/b>News</a></li></ul></nav>",
+    "<div><a href=/a>Home page</a> | <a href=/b>News of the day</a></div>",
+    "<header><p>The site of all that is to be had</p></header>",
+    "<aside><p>And this is what you have to see for the rest of it.</p></aside>",
+    "<form><p>Your mail</p><input name=m><button>Send</button></form>",
+    "<div class='cookie-notice'><p>It is with these that we do what we do for you.</p></div>",
+    "<script>var t='<p>It is the case that</p>';</script>",
+    "<!-- <p>It is the case that this was for all of you</p> -->",
+    "<p>Sign up for the letter that we send to all of you.</p>",
+    "<p>Subscribe to all that we have</p>",
+]
+REPLIES = [
+    "<div><h3>Comments</h3><div><p>I do not think that it is the case that this was for all of them.</p></div><div><p>" + "And that is what you have to do with it. " * 6 + "</p></div></div>",
+    "<section><h2>3 Comments</h2><p>Bob: this is not for me.</p></section>",
+    "<div class=comments><p>" + "I have to say that it is not for all of us. " * 5 + "</p></div>",
+]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_planted_pages(seed):
+    """Pages put together from an article's blocks and noise: what comes out is the article, whatever wraps it."""
+    rng = random.Random(seed)
+    stop = "the of and to in a is that it for on was as with by at from this are be".split()
+    word = lambda: rng.choice(stop) if rng.random() < 0.4 else "".join(rng.choices(["ka", "lo", "mi", "ren", "st"], k=rng.randint(1, 3)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    title, paragraphs = line(6), [line(rng.randint(25, 90)) for _ in range(rng.randint(2, 6))]
+    some = rng.randrange(1, len(paragraphs))
+    paragraphs.insert(some, line(3))
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    replies = rng.choice(REPLIES)
+    if rng.random() < 0.5:  # inside the article
+        body = body[: body.rindex("<p>")] + rng.choice(NOISY[8:]) + body[body.rindex("<p>") :] + (replies if rng.random() < 0.5 else "")
+    wrap = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div>%s</div>", "<div class='header-image'>%s</div>", "<div class='article search-result'>%s</div>", "<section id=content>%s</section>"])
+    page = "<html><body>" + "".join(rng.sample(NOISY[:8], rng.randint(1, 6))) + wrap % body + rng.choice(["", replies]) + "".join(rng.sample(NOISY[:8], 2)) + "<footer><p>&copy; The firm</p></footer></body></html>"
+    assert H.main_text(page) == "\n\n".join([title, *paragraphs]), page
+
+
+def test_html_headings_named_like_comments_hold_their_section_only():
+    text = PROSE.strip()
+    assert H.main_text(f"<article><p>{PROSE}</p><h2>Comments</h2><p>{PROSE}</p><h2>More</h2><p>{PROSE}</p></article>") == f"{text}\n\nMore\n\n{text}"
+    assert H.main_text(f"<article><p>{PROSE}</p><p>Comments by all of them were to be had.</p><p>{PROSE}</p></article>").count(text) == 2
+    assert H.main_text("<h1>Few words</h1><p>Here</p>") == "Few words\n\nHere" and H.main_text("<div>Bare</div>") == "Bare"
 
 
 # -- vectors --------------------------------------------------------------------------------------------------------
