@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written below the session's ``spark.checkpoint.dir`` (a temporary folder where that is unset) and read back."""
-    sc = df.sparkSession.sparkContext
+
+def folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder; a cluster must set it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="ckpt")
+            atexit.register(shutil.rmtree, shared, True)
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table below ``folder`` and read it back from there.
+
+    Lost executors can't lose these files, and plans built on them stay small (a checkpoint's plan keeps the
+    constraints of what it came from, which grow with every round of a loop).
+    """
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process; results that still read them must have been written before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
