@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut  # noqa: F401  recovery points, for the operators
+
 #: White space that separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,19 +22,15 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a
-    temporary folder serves. Lost executors can't lose these files, and plans built on them stay small (a
-    checkpoint's plan keeps the constraints of what it came from, which grow with every round of a loop).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def beside(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores after those that ``df`` has already (case aside)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,8 +19,9 @@ from .common import WORD, cut, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 BLOCK = 512
-#: Hash ranges of a source's line (prefix sums are taken within, then over them), cells of the unit interval, slots per chunk.
-BUCKETS, CELLS, CHUNK = 4096, 4096, 1024
+#: Hash ranges of a source's line (prefix sums are taken within, then over them), cells of the unit interval, slots per
+#: chunk, chunks per stretch (their prefix sums are taken within stretches, then over them).
+BUCKETS, CELLS, CHUNK, STRETCH = 4096, 4096, 1024, 1024
 #: Fractional parts of the golden ratio and of 2^20 times it.
 PHI = 0.6180339887498949
 PHI_20 = (PHI * 2**20) % 1.0
@@ -61,16 +62,19 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     t = t.withColumn("hi", F.sum("need").over(line)).withColumn("all", F.sum("need").over(whole)).withColumn("lo", F.col("hi") - F.col("need"))
     t = t.withColumn("key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS / F.col("all")), F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS / F.col("all"))))))
-    n = t.agg(F.coalesce(F.sum("need"), F.lit(0)).alias("n"))
-    chunks = n.where("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")).repartition(F.col("chunk"))
-    slots = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("slot"))
+    n = t.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
+    chunks = targets.sparkSession.range(-(-n // CHUNK)).select(F.col("id").alias("chunk"))
+    slots = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.lit(n), (F.col("chunk") + 1) * CHUNK) - 1)).alias("slot"))
     point = F.pmod((F.col("slot") % 2**20) * F.lit(PHI) + F.pmod(F.floor(F.col("slot") / 2**20) * F.lit(PHI_20), F.lit(1.0)), F.lit(1.0))
     slots = slots.withColumn("u", point).withColumn("cell", F.floor(F.col("u") * CELLS))
     placed = slots.join(cells, "cell").where("u * all >= lo and u * all < hi").select("slot", "chunk", "key")
     # rank within the source: before this chunk, then within it
-    per = placed.groupBy("key", "chunk").agg(F.count("*").alias("c"))
-    per = per.withColumn("start", F.coalesce(F.sum("c").over(W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("key", "chunk").orderBy("slot")) - 1).join(per.select("key", "chunk", "start"), ["key", "chunk"])
+    per = placed.groupBy("key", "chunk").agg(F.count("*").alias("c")).withColumn("stretch", F.floor(F.col("chunk") / STRETCH))
+    long = per.groupBy("key", "stretch").agg(F.sum("c").alias("s"))
+    long = long.select("key", "stretch", F.coalesce(F.sum("s").over(W.partitionBy("key").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    own = F.coalesce(F.sum("c").over(W.partitionBy("key", "stretch").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("start", own).join(long, ["key", "stretch"]).withColumn("start", F.col("start") + F.col("_s"))
+    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("key", "chunk").orderBy("slot")) - 1).join(per.select("key", "chunk", "start").hint("merge"), ["key", "chunk"])
     ranked = ranked.select("key", "slot", (F.col("start") + F.col("r")).alias("rank"))
     facts = t.select("key", "source_size", "goal", "need")
     got = per.groupBy("key").agg(F.sum("c").alias("c"))
@@ -79,33 +83,36 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.unionByName(tail).join(facts, "key").where("rank < need")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, size): doc_id, source, size, source_size, target, taken, first_slot.
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = 7, by: tuple[str, ...] = ("doc_id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, source, size): these, ``by``, ``carry``, source_size, target, taken, first_slot.
 
-    ``taken`` counts the words that the mix takes from the document, repeats counted. Documents of size 0
-    have none. Rows that repeat a doc_id keep their places on the line; which of several equal rows is where
-    does not matter. An empty table gives an empty result.
+    ``by`` shuffles a source's line: rows alike in these lie together; ``carry`` columns settle the order among them
+    and come back with their row. ``taken`` counts the words that the mix takes from the document, repeats counted. Null
+    sizes are 0; documents of size 0 have none. Rows that repeat a doc_id, or have none, keep places of their own on
+    the line; which of several equal rows is where does not matter. A null source is one of its own, the last. Other
+    columns are ignored. An empty table gives an empty result.
     """
-    docs = cut(docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))  # texts are read once
-    targets = source_targets(docs, weights, most)
+    own = list(dict.fromkeys(["doc_id", *by, *carry]))
+    docs = cut(docs.select(*own, "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))  # texts are read once
+    targets = cut(source_targets(docs, weights, most))  # one row per source
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    line = docs.where("size > 0").withColumn("key", key).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    per = line.groupBy("key", "bucket").agg(F.sum("size").alias("s"))
-    per = per.withColumn("start", F.coalesce(F.sum("s").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    line = line.withColumn("w", F.coalesce(F.sum("size").over(within), F.lit(0))).join(per.select("key", "bucket", "start"), ["key", "bucket"])
-    line = line.withColumn("lo", F.col("start") + F.col("w")).withColumn("hi", F.col("lo") + F.col("size")).select("doc_id", "source", "key", "size", "lo", "hi")
+    line = docs.where("size > 0").withColumn("key", key).withColumn("_h", F.xxhash64(F.lit(seed), *by)).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)))
+    per = line.groupBy("key", "_bucket").agg(F.sum("size").alias("s"))
+    per = per.withColumn("start", F.coalesce(F.sum("s").over(W.partitionBy("key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = W.partitionBy("key", "_bucket").orderBy("_h", *own, "size").rowsBetween(W.unboundedPreceding, -1)
+    line = line.withColumn("w", F.coalesce(F.sum("size").over(within), F.lit(0))).join(per.select("key", "_bucket", "start").hint("merge"), ["key", "_bucket"])
+    line = line.withColumn("lo", F.col("start") + F.col("w")).withColumn("hi", F.col("lo") + F.col("size")).select(*own, "source", "key", "size", "lo", "hi")
     pieces = line.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     nb = F.ceil(F.col("source_size") / block)
     slots = schedule(targets, block).withColumn("b", F.col("rank") % nb)
     left = F.col("goal") - F.floor(F.col("rank") / nb) * F.col("source_size")  # words still to take when this round of the line began
     slots = slots.select("key", "b", "slot", left.alias("upto"))
     overlap = F.greatest(F.lit(0), F.least(F.col("hi"), (F.col("b") + 1) * block, F.col("upto")) - F.greatest(F.col("lo"), F.col("b") * block))
-    taken = pieces.join(slots, ["key", "b"], "left").withColumn("o", F.when(F.col("upto").isNull(), 0).otherwise(overlap))
-    taken = taken.groupBy("doc_id", "source", "size", "lo").agg(F.sum("o").cast("long").alias("taken"), F.min(F.when(F.col("o") > 0, F.col("slot"))).alias("first_slot")).drop("lo")
-    out = taken.unionByName(docs.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")))
+    taken = pieces.join(slots.hint("merge"), ["key", "b"], "left").withColumn("o", F.when(F.col("upto").isNull(), 0).otherwise(overlap))
+    taken = taken.groupBy(*own, "source", "size", "lo").agg(F.sum("o").cast("long").alias("taken"), F.min(F.when(F.col("o") > 0, F.col("slot"))).alias("first_slot")).drop("lo")
+    out = taken.unionByName(docs.where("size = 0").select(*own, "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")))
     facts = targets.withColumnRenamed("source", "_s")
-    return out.join(facts, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+    return out.join(facts, F.col("source").eqNullSafe(F.col("_s"))).select(*own, "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
