@@ -191,13 +191,28 @@ def brute_leaks(text, items):
     return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)
 
 
+def test_leaks_many_words():
+    """More words than signs below the surrogates, and the size of an automaton."""
+    words = [f"w{i}" for i in range(70_000)]
+    shard = D.Shard([(i, " ".join(words[i : i + 14])) for i in range(0, 70_000, 14)])
+    assert shard.automaton.get_stats()["nodes_count"] <= 31 * 70_000
+    n, mask, ids = D.scan("x " + " ".join(words[55_286:55_310]) + " y", [shard])
+    assert n == 26 and mask.sum() == 24 and ids == {55_286, 55_300} - ({55_300} if 55_310 - 55_300 < 10 else set())
+
+
 def test_leaks(spark):
     rng = random.Random(1)
     vocab = ["a", "B", "é", "x9", "of", "ß", "日本"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([1, 3, 10, 14])))) for i in range(12)] + [(50, None), (51, "..!"), (3, "of a-x9")]
     docs = [(i, rng.choice(["", "-", "\t"]).join(rng.choices(vocab, k=30)) + ". " + rng.choice(items[:12])[1].upper().replace("É", "é").replace("ß".upper(), "ß")) for i in range(40)]
     docs += [(90, None), (91, ""), (92, "!?"), (92, "!?"), (93, "a " * 50_000)]
-    got = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), shard_bytes=60).collect()
+    frame, bench = spark.createDataFrame([(*d, "x", 5) for d in docs], "doc_id long, text string, spans string, n_hit int"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(D.load_shards(bench, 100))) > 3 and len(list(D.load_shards(bench))) == 1
+    got = D.decontaminate(frame, bench, states=100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, D.decontaminate(frame, bench).collect()))
+    assert D.decontaminate(frame.limit(0), bench).count() == 0
+    with pytest.raises(ValueError, match="parts"):
+        list(D.load_shards(bench, most_bytes=10))
     want = sorted((i, *brute_leaks(t, items)) for i, t in docs if i != 93)
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got if r.doc_id != 93) == want
     texts = dict(docs)
