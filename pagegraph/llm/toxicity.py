@@ -1,19 +1,27 @@
 """Toxicity: subsequence string kernel, Nystroem landmarks, and a linear support vector machine.
 
-A string's features are the triples of its signs in order, each weighted by DECAY to the power of its span, so
-inserted characters and gaps cost some of a match's weight and not all of it. Landmarks are words and beginnings
-of words in the training texts that tell toxic from other texts. A word's value at a landmark is their kernel
-over the landmark's own, at most 1: how much of the landmark the word holds; a text's is the greatest of its
-words' and of its windows of two or three neighbouring words read as one (split words), no longer than the landmark
-and SLACK letters. Values are graded: there is no floor. The Nystroem map K^(-1/2) of the landmarks' normalised kernel makes these values features of a linear
-machine with squared hinge loss, and a logistic fit on folds turns its margin into a probability.
+Words. A string's features are the triples of its signs in order, each weighted by DECAY to the power of its span, so
+inserted characters and gaps cost some of a match's weight and not all of it. The kernel of two words is the product
+of these features over the weight that words of their lengths have (it divides by a function of each word alone, so it
+stays a kernel), to the power POWER, which is one again and keeps what is merely alike small. There is no floor.
+
+Sentences. A text is read in stretches of SPAN words. A stretch is the bag of its words and of its windows of two or
+three neighbouring words read as one (split words); the kernel of two bags is the sum over their pairs. Landmarks are
+bags of one word, and the Nystroem map K^(-1/2) of the landmarks' own kernel makes a stretch's kernel values with them
+the features of a linear machine with squared hinge loss. A text has the margin of its worst stretch. As labels are
+known for texts only, the machine is fitted on the worst stretch of each text by its last fit, some times over, and a
+logistic fit on folds turns margins into probabilities.
+
+Landmarks are found by kernel matching pursuit: of the words that training texts of label 1 share, each step takes the
+one whose kernel values with the texts go best with what the machine on the landmarks so far gets wrong. The machine
+also sees copies of texts whose longer words hold an inserted letter.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,66 +33,123 @@ from pyspark.sql import types as T
 
 from .common import table
 
-LANDMARKS, SAMPLE = 64, 6000
-DECAY, REACH = 0.7, 7  #: triples span at most REACH letters
-SLACK = 2  #: letters that joined words may have more than the landmark
+LANDMARKS, CANDIDATES, SAMPLE = 64, 1536, 6000
+DECAY, REACH, POWER = 0.75, 6, 3  #: triples span at most REACH signs
+SPAN = 16  #: words of a stretch
+JOINED = 12  #: signs that neighbouring words read as one may have
+PIECE, WHOLE = 6, 24  #: runs of more than WHOLE letters (scripts without spaces) are read in pieces
 CHUNK = 8192  #: words that are read at once
+ROUNDS = 4
+LEAST = 0.01  #: a landmark's share in what is still wrong, at least
 CUT = 0.3
+BITS = 6
+START = 0  #: the sign before every word, so that beginnings weigh more than what merely occurs inside
+_SPACE, _DROP = 255, 254
+#: Offsets of a triple's second and third sign, and its weight.
+_TRIPLES = [(i, j, DECAY ** (j + 1)) for j in range(2, REACH) for i in range(1, j)]
 
 
-def _letter(b: int) -> int:
-    """a-z for both cases; trailing bytes of other letters become one of five further signs, case aside."""
-    return b + 32 if 0x41 <= b <= 0x5A else 0x7B + (b & 0x1F) % 5 if 0x80 <= b <= 0xBF else b
+def _other(code: int) -> int:
+    """One of 37 signs for letters beyond a-z."""
+    return 27 + (code * 0x9E3779B1 >> 7) % 37
 
 
-_LETTERS = bytes(map(_letter, range(256)))
-_DROP = bytes(b for b in range(256) if not (0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or 0x80 <= b <= 0xBF or b in b" \t\n\r\x0b\x0c"))
-START = b"\x80"  #: stands before every word, so that beginnings weigh more than what merely occurs inside
-_SPELLED = re.compile(rb"(?:(?<=\s)|^)(?:[a-z]\s++){2,}[a-z](?=\s|$)")
-#: Offsets of a triple's second and third letter, and its weight.
-_TRIPLES = [(i, j, DECAY ** (j + 1)) for j in range(2, REACH) for i in range(1, j)]
+def _signs() -> np.ndarray:
+    """A sign per code point of the basic plane: a-z for both cases, letters and marks of other scripts case aside."""
+    out = np.full(0x10000, _DROP, np.uint8)
+    for code in range(0x10000):
+        c = chr(code)
+        if c.isspace():
+            out[code] = _SPACE
+        elif c.isalpha() or (code > 0x7F and ("a" + c).isidentifier() and not c.isdigit()):
+            low = ord(c.lower()[0])
+            out[code] = low - 96 if 97 <= low <= 122 else _other(low)
+    return out
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The letters of each word as signs; letters spelled apart (``i d i o t``, by any blanks) are one word."""
-    raw = (text or "").encode().translate(_LETTERS, _DROP)
-    if _SPELLED.search(raw):
-        raw = _SPELLED.sub(lambda m: b"".join(m[0].split()), raw)
-    return raw.split()
+_TABLE: list[np.ndarray] = []
 
 
-def triples(word: bytes) -> dict[int, float]:
-    """Weights of the word's letter triples (the explicit kernel features)."""
-    c, out = [x - 97 for x in START + word], {}
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signs of all words end to end, the words' lengths, and the texts they are from.
+
+    Letters spelled apart (``i d i o t``, by any blanks and symbols) are one word; very long words are cut in pieces.
+    """
+    if not _TABLE:
+        _TABLE.append(_signs())
+    raw = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(texts)), [len(t or "") for t in texts])
+    sign = _TABLE[0][np.minimum(raw, 0xFFFF)]
+    far = np.flatnonzero(raw > 0xFFFF)
+    sign[far] = [_other(int(c)) for c in raw[far]]
+    blanks = np.cumsum(sign == _SPACE)
+    on = np.flatnonzero(sign < _DROP)
+    raw, text, blanks = sign[on].astype(np.int64), text[on], blanks[on]
+    n = len(raw)
+    if not n:
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.ones(n, bool)
+    first[1:] = (blanks[1:] != blanks[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(at, n))
+    single = length == 1
+    if single.any():  # runs of three words of one letter or more
+        own = text[at]
+        new = np.ones(len(at), bool)
+        new[1:] = ~(single[1:] & single[:-1] & (own[1:] == own[:-1]))
+        run = np.cumsum(new) - 1
+        spelled = single & (np.bincount(run)[run] >= 3) & ~new
+        first[at[spelled]] = False
+        at = np.flatnonzero(first)
+        length = np.diff(np.append(at, n))
+    if (length > WHOLE).any():
+        place = np.arange(n) - np.repeat(at, length)
+        first |= np.repeat(length > WHOLE, length) & (place % PIECE == 0)
+        at = np.flatnonzero(first)
+        length = np.diff(np.append(at, n))
+    return raw, length, text[at]
+
+
+def triples(word: np.ndarray) -> dict[int, float]:
+    """Weights of a word's triples of signs (the explicit kernel features)."""
+    c, out = [START, *(int(x) for x in word)], {}
     n = len(c)
     for a in range(n - 2):
         for i, j, w in _TRIPLES:
             if a + j < n:
-                code = c[a] << 10 | c[a + i] << 5 | c[a + j]
+                code = c[a] << 2 * BITS | c[a + i] << BITS | c[a + j]
                 out[code] = out.get(code, 0.0) + w
     return out
 
 
+def _weight(length: np.ndarray) -> np.ndarray:
+    """The weight of words of so many signs, if all their triples differ."""
+    return np.sqrt(np.maximum(sum(w * w * np.maximum(length + 1 - j, 0) for _, j, w in _TRIPLES), 1e-12))
+
+
 class Kernel:
-    """Kernel values with a fixed list of landmarks."""
+    """Kernel values with a fixed list of landmarks (words as arrays of signs)."""
 
     def __init__(self, landmarks: list[bytes]):
         self.landmarks = landmarks
-        own = [triples(m) for m in landmarks]
-        square = [max(sum(w * w for w in t.values()), 1e-12) for t in own]
-        self.gram = np.array([[sum(w * u.get(c, 0.0) for c, w in t.items()) / (p * q) ** 0.5 for u, q in zip(own, square, strict=True)] for t, p in zip(own, square, strict=True)])
+        words = [np.frombuffer(m, np.uint8) for m in landmarks]
+        own = [triples(w) for w in words]
+        scale = _weight(np.array([len(w) for w in words], np.int64)) if words else np.zeros(0)
         held: dict[int, list[tuple[int, float]]] = {}
-        for k, (t, p) in enumerate(zip(own, square, strict=True)):
+        for k, (t, q) in enumerate(zip(own, scale, strict=True)):
             for c, w in t.items():
-                held.setdefault(c, []).append((k, w / p))
+                held.setdefault(c, []).append((k, w / q))
         #: Per code the place of its (landmark, weight) entries and their number.
-        self.first, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.first, self.count = np.zeros(1 << 3 * BITS, np.int64), np.zeros(1 << 3 * BITS, np.int64)
         for c, entries in held.items():
             self.count[c] = len(entries)
         self.first[1:] = np.cumsum(self.count)[:-1]
         entries = [e for c in sorted(held) for e in held[c]]
         self.landmark, self.weight = np.array([k for k, _ in entries], np.int64), np.array([w for _, w in entries], float)
-        self.longest = np.array([len(m) + SLACK for m in landmarks])
+
+    def gram(self) -> np.ndarray:
+        words = [np.frombuffer(m, np.uint8).astype(np.int64) for m in self.landmarks]
+        return self.values(np.concatenate(words), np.array([len(w) for w in words]), np.arange(len(words)), 1)
 
     def _sums(self, hits: list[tuple[np.ndarray, np.ndarray, float]], size: int) -> np.ndarray:
         """Sums by landmark of weighted codes for each of ``size`` owners."""
@@ -98,115 +163,115 @@ class Kernel:
         flat = np.bincount(np.concatenate(keys), np.concatenate(weights), size * len(self.landmarks))
         return flat.reshape(size, len(self.landmarks))
 
-    def windows(self, words: list[bytes], text: np.ndarray) -> np.ndarray:
-        """Per word the greatest values of the windows of one to three words of its text that begin with it."""
-        n = len(words)
-        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) - 97
-        length = np.fromiter(map(len, words), np.int64, n)
+    def values(self, raw: np.ndarray, length: np.ndarray, text: np.ndarray, most: int = 3) -> np.ndarray:
+        """Per word the sum of the kernel values of it and of the windows of up to ``most`` words of its text that begin with it."""
+        n = len(length)
         owner, start = np.repeat(np.arange(n), length), np.cumsum(length) - length
-        inner: list[list] = [[], [], []]  # by the words from a triple's first letter to its last
+        inner: list[list] = [[], [], []]  # by the words from a triple's first sign to its last
         begin: list[list] = [[], [], []]
         for i, j, w in _TRIPLES:
             if len(raw) > j:
-                code = raw[: len(raw) - j] << 10 | raw[i : len(raw) - j + i] << 5 | raw[j:]
+                code = raw[: len(raw) - j] << 2 * BITS | raw[i : len(raw) - j + i] << BITS | raw[j:]
                 at = np.flatnonzero(self.count[code])
                 apart = owner[at + j] - owner[at]
-                for d in range(3):
+                for d in range(most):
                     on = at[apart == d]
                     inner[d].append((code[on], owner[on], w))
             at = np.flatnonzero(start + j - 1 < len(raw))
-            code = (START[0] - 97) << 10 | raw[start[at] + i - 1] << 5 | raw[start[at] + j - 1]
+            code = START << 2 * BITS | raw[start[at] + i - 1] << BITS | raw[start[at] + j - 1]
             apart = owner[start[at] + j - 1] - at
-            for d in range(3):
+            for d in range(most):
                 on = (apart == d) & (self.count[code] > 0)
                 begin[d].append((code[on], at[on], w))
-        own, cross, far = (self._sums(h, n) for h in inner)
-        first = [self._sums(h, n) for h in begin]
-        value = own + first[0]
-        best = value.copy()
-        for d in (1, 2):
-            if n <= d:
-                break
-            value = value[:-1] + own[d:] + cross[d - 1 : n - 1] + first[d][: n - d]
+        own, cross = self._sums(inner[0], n), self._sums(inner[1], n) if most > 1 else None
+        value = own + self._sums(begin[0], n)
+        out = (value / _weight(length)[:, None]) ** POWER
+        for d in range(1, min(most, n)):
+            value = value[:-1] + own[d:] + cross[d - 1 : n - 1] + self._sums(begin[d], n)[: n - d]
             if d == 2:
-                value += far[: n - 2]
+                value += self._sums(inner[2], n)[: n - 2]
             joined = sum(length[k : n - d + k] for k in range(d + 1))
-            fits = (joined[:, None] <= self.longest) & (text[: n - d] == text[d:])[:, None]
-            np.maximum(best[: n - d], np.where(fits, value, 0.0), out=best[: n - d])
-        return np.minimum(best, 1.0, out=best)
-
+            fits = np.flatnonzero((joined <= JOINED) & (text[: n - d] == text[d:]))
+            out[fits] += (value[fits] / _weight(joined[fits])[:, None]) ** POWER
+        return out
 
-def nystroem(values: np.ndarray, whiten: np.ndarray) -> np.ndarray:
-    """The landmark features, and the greatest value at any landmark."""
-    return np.concatenate((values @ whiten, values.max(axis=1, keepdims=True, initial=0)), axis=1)
+    def stretches(self, texts: list[str | None], most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values of all stretches, and the texts they are from."""
+        raw, length, text = words_of(texts)
+        n = len(length)
+        if not n or not self.landmarks:
+            return np.zeros((0, len(self.landmarks))), np.zeros(0, np.int64)
+        begin = np.ones(n, bool)
+        begin[1:] = text[1:] != text[:-1]
+        place = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+        edge = np.flatnonzero(place % SPAN == 0)
+        number = np.cumsum(place % SPAN == 0) - 1
+        out, ends = np.zeros((len(edge), len(self.landmarks))), np.concatenate(([0], np.cumsum(length)))
+        for k in range(0, n, CHUNK):
+            e = min(n, k + CHUNK + 2)
+            got = self.values(raw[ends[k] : ends[e]], length[k:e], text[k:e], most)[: min(CHUNK, n - k)]
+            which, at = np.unique(number[k : k + CHUNK], return_index=True)
+            out[which] += np.add.reduceat(got, at, axis=0)
+        return out, text[edge]
+
+
+def _worst(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Per text the number of its stretch of greatest value (-1 without any); ``text`` ascends."""
+    out = np.full(n, -1)
+    order = np.lexsort((np.arange(len(text)), -value, text))
+    which, at = np.unique(text[order], return_index=True)
+    out[which] = order[at]
+    return out
 
 
 @dataclass
 class Model:
     landmarks: list[bytes]
-    whiten: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  #: of the kernel values: the machine's weights through the Nystroem map
     bias: float
     slope: float
     shift: float
 
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        margin = nystroem(values, self.whiten) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
-
-
-class Reader:
-    """Kernel values of texts."""
-
-    def __init__(self, landmarks: list[bytes]):
-        self.kernel = Kernel(landmarks)
-
-    def values(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.kernel.landmarks)))
-        if not self.kernel.landmarks:
-            return out
-        words: list[bytes] = []
-        count = []
-        for t in texts:
-            own = words_of(t)
-            count.append(len(own))
-            words += own
-        text = np.repeat(np.arange(len(texts)), count)
-        for k in range(0, len(words), CHUNK):
-            got = self.kernel.windows(words[k : k + CHUNK + 2], text[k : k + CHUNK + 2])[:CHUNK]
-            which, at = np.unique(text[k : k + CHUNK], return_index=True)
-            out[which] = np.maximum(out[which], np.maximum.reduceat(got, at, axis=0))
-        return out
-
-
-def choose_landmarks(texts: list[str | None], toxic: np.ndarray, most: int = LANDMARKS) -> list[bytes]:
-    """Words (of three signs or more) and beginnings of words (of four or more) that tell toxic texts apart.
-
-    One at a time by log odds times the root of the weight of the toxic texts that have it; a text's weight halves
-    with every landmark that it has. Of equal ones the longest comes first, and its own beginnings then go.
-    """
-    have: dict[bytes, list[int]] = {}
-    clean: Counter = Counter()
-    for n, (t, y) in enumerate(zip(texts, toxic, strict=True)):
-        own = {w[:k] for w in set(words_of(t)) if len(w) > 2 for k in (*range(4, min(len(w), 10)), len(w))}
-        if y:
-            for w in own:
-                have.setdefault(w, []).append(n)
-        else:
-            clean.update(own | {w[:3] for w in own})  # a word of three signs is found at the beginning of others too
-    p, q = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    have = {w: at for w, at in have.items() if len(at) >= max(4, p // 50) and len(at) / p > 8 * clean[w] / q}
-    odds = {w: float(np.log((len(at) + 0.1) / (p + 1) * (q + 1) / (clean[w] + 0.1))) for w, at in have.items()}
-    weight, out = np.ones(len(texts)), []
-    left = {w: np.array(at) for w, at in have.items()}
-    while left and len(out) < most:
-        best = max(left, key=lambda w: (odds[w] * weight[left[w]].sum() ** 0.5, len(w), w))
-        if weight[left[best]].sum() < 1:
+    def margins(self, kernel: Kernel, texts: list[str | None]) -> np.ndarray:
+        value, text = kernel.stretches(texts)
+        out = np.full(len(texts), -np.inf)
+        np.maximum.at(out, text, value @ self.weights)
+        return np.where(np.isfinite(out), out, 0.0) + self.bias
+
+    def scores(self, kernel: Kernel, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(kernel, texts) + self.shift, -60, 60)))
+
+
+def candidates(texts: list[str | None], toxic: np.ndarray, most: int = CANDIDATES) -> list[bytes]:
+    """Words of three signs or more that several training texts of label 1 have: those in most of them first, then by hash."""
+    raw, length, text = words_of([t for t, y in zip(texts, toxic, strict=True) if y])
+    ends = np.concatenate(([0], np.cumsum(length)))
+    signs = raw.astype(np.uint8).tobytes()
+    seen: dict[bytes, set] = {}
+    for k in np.flatnonzero(length >= 3).tolist():
+        seen.setdefault(signs[ends[k] : ends[k + 1]], set()).add(int(text[k]))
+    shared = [(w, len(at)) for w, at in seen.items() if len(at) >= 2]
+    return [w for w, _ in sorted(shared, key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def pursue(values: np.ndarray, toxic: np.ndarray, most: int, ridge: float = 1e-2) -> list[int]:
+    """Columns of ``values`` (texts by candidates), one at a time: the one that goes best with the errors of the machine on those before."""
+    s = np.where(toxic > 0, 1.0, -1.0)
+    c = np.where(toxic > 0, 0.5 / max(1, (toxic > 0).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    norm = np.sqrt(c @ (values * values)) + 0.02
+    chosen: list[int] = []
+    margin, left = np.zeros(len(s)), np.ones(values.shape[1], bool)
+    while len(chosen) < most and left.any():
+        pull = c * s * np.maximum(0.0, 1 - s * margin)
+        gain = np.where(left, (pull - c * pull.sum()).astype(np.float32) @ values / norm, -np.inf)
+        best = int(gain.argmax())
+        if gain[best] < LEAST:
             break
-        out.append(best)
-        weight[left[best]] /= 2
-        left = {w: at for w, at in left.items() if not best.startswith(w) and not w.startswith(best)}
-    return out
+        chosen.append(best)
+        left[best] = False
+        w, b = _machine(values[:, chosen], toxic, ridge, 12)
+        margin = values[:, chosen] @ w + b
+    return chosen
 
 
 def _machine(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -240,28 +305,89 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, ridge: float = 1e-5, folds: int = 3) -> Model:
+def _greatest(found: list[bytes], texts: list[str | None]) -> np.ndarray:
+    """Per text and candidate the greatest kernel value of the text's words; every distinct word is read once."""
+    raw, length, text = words_of(texts)
+    ends, signs = np.concatenate(([0], np.cumsum(length))), raw.astype(np.uint8).tobytes()
+    number: dict[bytes, int] = {}
+    word = np.array([number.setdefault(signs[a:b], len(number)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
+    pairs = np.unique(word * len(texts) + text)
+    word, text = pairs // len(texts), pairs % len(texts)
+    kernel, words, out = Kernel(found), list(number), np.zeros((len(texts), len(found)), np.float32)
+    for k in range(0, len(words), 2048):
+        some = words[k : k + 2048]
+        value = kernel.values(np.frombuffer(b"".join(some), np.uint8).astype(np.int64), np.array([len(w) for w in some]), np.arange(len(some)), 1).astype(np.float32)
+        i, j = np.searchsorted(word, (k, k + 2048))
+        order = np.argsort(text[i:j], kind="stable")
+        for q in range(0, len(order), 16384):
+            at = order[q : q + 16384]
+            which, first = np.unique(text[i:j][at], return_index=True)
+            out[which] = np.maximum(out[which], np.maximum.reduceat(value[word[i:j][at] - k], first, axis=0))
+    return out
+
+
+def inserted(text: str) -> str:
+    """The text with a letter more inside every word of five or more; where and which follows from the word."""
+
+    def one(m: re.Match) -> str:
+        w, h = m[0], zlib.crc32(m[0].lower().encode("utf-8", "replace"))
+        k = 2 + h % (len(w) - 3)
+        return w[:k] + chr(97 + h // 64 % 26) + w[k:]
+
+    return re.sub(r"[^\W\d_]{5,}", one, text)
+
+
+def _mapped(kernel: Kernel) -> np.ndarray:
+    """The Nystroem map of the landmarks' kernel."""
+    e, v = np.linalg.eigh(kernel.gram())
+    return v @ np.diag(1 / np.sqrt(np.maximum(e, 0.05))) @ v.T
+
+
+def _fit_stretches(x: np.ndarray, text: np.ndarray, toxic: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias: the machine on each text's worst stretch, some times over."""
+    rows = np.concatenate((x, np.zeros((1, x.shape[1]))))  # a text without words is the empty bag
+    w = x[toxic[text] > 0].mean(axis=0) - x[toxic[text] == 0].mean(axis=0) if 0 < toxic[text].sum() < len(text) else np.zeros(x.shape[1])
+    for _ in range(ROUNDS):
+        w, b = _machine(rows[_worst(x @ w, text, len(toxic))], toxic, ridge)
+    return w, b
+
+
+def fit(texts: list[str | None], toxic: np.ndarray, ridge: float = 5e-3, folds: int = 3) -> Model:
     """Landmarks, Nystroem map, machine and calibration. Without both classes every score is the share of label 1."""
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     prior = float(np.log(share / (1 - share)))
-    marks = choose_landmarks(texts, toxic) if 0 < toxic.sum() < len(toxic) else []
+    found = candidates(texts, toxic) if 0 < toxic.sum() < len(toxic) else []
+    marks = [found[k] for k in pursue(_greatest(found, texts), toxic, LANDMARKS)] if found else []
     if not marks:
-        return Model([], np.zeros((0, 0)), np.zeros(1), 0.0, 1.0, prior)
-    values = Reader(marks).values(texts)
-    e, v = np.linalg.eigh(Kernel(marks).gram)
-    whiten = v @ np.diag(1 / np.sqrt(np.maximum(e, 0.1))) @ v.T
-    x, margin = nystroem(values, whiten), np.zeros(len(values))
-    fold = np.arange(len(values)) % folds
+        return Model([], np.zeros(0), 0.0, 1.0, prior)
+    # copies with inserted letters of the texts of label 1, and of about as many others
+    n, ones = len(toxic), int(toxic.sum())
+    more = np.flatnonzero((toxic > 0) | (np.arange(n) % max(1, (n - ones) // ones) == 0))
+    every = [*texts, *(inserted(texts[i] or "") for i in more)]
+    source, label = np.concatenate((np.arange(n), more)), np.concatenate((toxic, toxic[more]))
+    kernel = Kernel(marks)
+    parts = [(v, t + k) for k in range(0, len(every), 256) for v, t in [kernel.stretches(every[k : k + 256])]]
+    mapped = _mapped(kernel)
+    x, text = np.concatenate([v for v, _ in parts]) @ mapped, np.concatenate([t for _, t in parts])
+    fold, margin = source % folds, np.zeros(len(label))
+    rows = np.concatenate((x, np.zeros((1, x.shape[1]))))
     for f in range(folds):
-        w, b = _machine(x[fold != f], toxic[fold != f], ridge)
-        margin[fold == f] = x[fold == f] @ w + b
-    w, b = _machine(x, toxic, ridge)
-    slope, shift = _logistic(margin, toxic)
-    return Model(marks, whiten, w, b, slope, shift)
+        out = fold == f
+        place, own = np.cumsum(~out) - 1, ~out[text]
+        if len(np.unique(label[~out])) == 2:
+            w, b = _fit_stretches(x[own], place[text[own]], label[~out], ridge)
+            margin[out] = (rows[_worst(x @ w, text, len(label))] @ w + b)[out]
+    w, b = _fit_stretches(x, text, label, ridge)
+    slope, shift = _logistic(margin[:n], toxic)
+    return Model(marks, mapped @ w, b, slope, shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> Model:
-    """Fit on at most ``sample`` labelled rows (doc_id, toxic), those whose doc_id hashes least; null labels don't count."""
+    """Fit on at most ``sample`` labelled rows (doc_id, toxic), those whose doc_id hashes least.
+
+    Null labels don't count; of several labels of an id the greatest holds, and rows that repeat an id are texts of
+    their own. The sample bounds the rows; texts are read whole.
+    """
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_text").toArrow().sort_by("doc_id")
@@ -269,18 +395,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) to ``docs``; a column of that name is replaced. Null and empty texts have a score too."""
+    """Adds ``score`` (0 to 1) to ``docs``; a column of that name is replaced, others pass through.
+
+    Null and empty texts, and those without letters, have the score of an empty bag. Whole texts are read, however
+    long; repeated rows and equal texts have equal scores. An empty table gives an empty result.
+    """
     docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(sent.value)
-        reader = Reader(m.landmarks)
+        kernel = Kernel(m.landmarks)
         for b in batches:
             texts, out = b.column(text), []
             for i in range(0, b.num_rows, 512):
-                out.append(m.scores(reader.values(texts.slice(i, 512).to_pylist())))
+                out.append(m.scores(kernel, texts.slice(i, 512).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=[*b.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
