@@ -58,7 +58,7 @@ def page_metrics(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
 
 
 def with_metrics(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """The same metrics on every glyph by windows that keep to the page's partition (no join, no further shuffle)."""
+    """The same metrics on every glyph by windows that keep to the page's partition: no join, no further exchange, one sort."""
     page = W.partitionBy(*PAGE, "angle")
     same = W.partitionBy(*PAGE, "angle", "_s")
     g = glyphs.withColumn("_s", F.bround("size", 1))

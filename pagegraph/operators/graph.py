@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..config import DEFAULT, PAGE, Layout
 from ..functions.text import compress, heal_hyphens, metadata_ordinal, strip_ws
 from ..sources.scratch import cut
 
+#: Edges that make the tree.
+STRUCTURE = ("contains", "body_text", "sub_content")
+
 
 def heading_parent(items: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
     """Headings with ``parent_ord`` (null: the page): the nearest open heading that is larger by more than the tolerance.
@@ -110,29 +115,43 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select("doc_id", F.col("node_id").alias("t")), ["doc_id", "t"], "left_anti")
 
 
-def tree_lines(nodes: DataFrame, edges: DataFrame, depth: int = 12) -> DataFrame:
-    """Pre-order lines of every document's tree: doc_id, pos (from 1), level, line.
+def tree_paths(nodes: DataFrame, edges: DataFrame, place: Column) -> DataFrame:
+    """Nodes that structural edges reach from the roots: doc_id, node_id, t, c, path, level; sorting by path gives pre-order.
 
-    One join per level from the roots down until a level is empty (at most ``depth`` levels: the guard against
-    cycles), each level written as a scratch table, so plans stay small. A path collects its children's places
-    (top, then edge order), and sorting paths gives pre-order.
+    One join per level until a level is empty, each level a scratch table, so plans stay small at any depth. A path
+    collects ``place`` of its nodes (of the columns top, e_page, e_ord). It ends at a node that it holds already,
+    and a node that several paths reach has the first of them, so cycles and shared parts come once for every root.
     """
-    kids = edges.where(F.col("r").isin("contains", "body_text", "sub_content")).select("doc_id", F.col("f").alias("parent"), F.col("t").alias("node_id"), F.col("page_number").alias("e_page"), F.col("ord").alias("e_ord"))
+    kids = edges.where(F.col("r").isin(*STRUCTURE)).select("doc_id", F.col("f").alias("parent"), F.col("t").alias("node_id"), F.col("page_number").alias("e_page"), F.col("ord").alias("e_ord"))
     n = cut(nodes.select("doc_id", "node_id", "t", "c", F.coalesce("b1", F.lit(0)).alias("top")))
-    child = cut(kids.join(n, ["doc_id", "node_id"]))
-    place = F.struct(F.col("top"), F.col("e_page").alias("page"), F.col("e_ord").alias("ord"))
-    every = level = n.where("t = 'root'").select("doc_id", "node_id", "t", "c", F.array().cast("array<struct<top:int,page:int,ord:int>>").alias("path"), F.lit(0).alias("level"))
-    for k in range(1, depth + 1):
-        up = level.select("doc_id", F.col("node_id").alias("parent"), F.col("path").alias("p"))
-        level = cut(child.join(up, ["doc_id", "parent"]).select("doc_id", "node_id", "t", "c", F.array_append("p", place).alias("path"), F.lit(k).alias("level")))
+    child = cut(kids.join(n, ["doc_id", "node_id"]).select("doc_id", "parent", "node_id", "t", "c", place.alias("place")))
+    kind = child.schema["place"].dataType.simpleString()
+    level = n.where("t = 'root'").select("doc_id", "node_id", "t", "c", F.expr(f"cast(array() as array<{kind}>)").alias("path"), F.lit(0).alias("level"), F.col("node_id").alias("root"), F.array("node_id").alias("ids"))
+    levels = [level]
+    while True:
+        up = levels[-1].select("doc_id", "root", F.col("node_id").alias("parent"), F.col("path").alias("p"), F.col("ids").alias("above"))
+        step = child.join(up, ["doc_id", "parent"]).where(~F.array_contains("above", F.col("node_id")))
+        step = step.groupBy("doc_id", "root", "node_id").agg(F.min(F.struct(F.array_append("p", F.col("place")).alias("path"), "t", "c", F.array_append("above", F.col("node_id")).alias("ids"))).alias("s"))
+        level = cut(step.select("doc_id", "node_id", "s.t", "s.c", "s.path", F.lit(len(levels)).alias("level"), "root", "s.ids"))
         if level.isEmpty():
             break
-        every = every.unionByName(level)
+        levels.append(level)
+    every = reduce(DataFrame.unionByName, levels)
+    first = every.groupBy("doc_id", "root", "node_id").agg(F.min(F.struct("path", "t", "c", "level")).alias("s"))
+    return first.select("doc_id", "node_id", "root", "s.*")
+
+
+def tree_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pre-order lines of every document's tree, however deep: doc_id, pos (from 1), level, line.
+
+    Children come by their box's top, then in edge order.
+    """
+    every = tree_paths(nodes, edges, F.struct("top", F.col("e_page").alias("page"), F.col("e_ord").alias("ord")))
     clean = strip_ws(F.replace(F.col("c"), F.lit("\n"), F.lit(" ")))
     text = F.when(F.length(clean) > 80, F.concat(clean.substr(1, 80), F.lit("..."))).otherwise(clean)
     marker = F.when(F.col("t").isin("root", "page", "heading"), "[FOLDER]").otherwise("[FILE]")
     line = F.concat(F.repeat(F.lit("  "), F.col("level")), marker, F.lit(" ["), F.upper("t"), F.lit("] "), text)
-    return every.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("path")).cast("long").alias("pos"), F.col("level").cast("long").alias("level"), line.alias("line"))
+    return every.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("root", "path")).cast("long").alias("pos"), F.col("level").cast("long").alias("level"), line.alias("line"))
 
 
 def escape(c):

@@ -1,6 +1,8 @@
 """Page layout: masking, gutters, lines, slices, columns, blocks, reading order.
 
-All windows and aggregates are keyed by (doc_id, page_number) and finer keys, so one hash exchange serves them.
+Glyphs are exchanged once, by page (``by_page``); all windows after that are keyed by the page and finer keys, and
+neighbouring ones ask for orders that begin alike. Gutters come from a narrow pass of their own, summed before it is
+exchanged.
 """
 
 from __future__ import annotations
@@ -16,6 +18,11 @@ from .glyphs import normalised, safe_zone, with_angle, with_metrics
 BUCKET = [*PAGE, "angle"]
 
 
+def by_page(glyphs: DataFrame) -> DataFrame:
+    """The exchange that every later step on glyphs is served by."""
+    return glyphs.repartition(*PAGE)
+
+
 def mask(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Glyphs that no box of their page covers (its right edge is not asked for)."""
     b = boxes.select(*(F.col(c).alias(f"_{c}") for c in (*PAGE, "x0", "top", "x1", "bottom")))
@@ -55,7 +62,22 @@ def gutters(smooth: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
 
 
 def page_gutters(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    return gutters(smoothed(coverage(glyphs), cfg), cfg)
+    """The gutters of ``gutters(smoothed(coverage(glyphs)))`` without the histogram.
+
+    Counts are whole, so a mean of fewer than ten bins is below 0.1 only where all of them are empty: the empty
+    stretches are what no glyph covers, with ``blur`` bins added at both its ends. A page's covered stretches, the
+    furthest end per begin, are few, and a fold in order joins them.
+    """
+    if cfg.blur > 4:
+        return gutters(smoothed(coverage(glyphs), cfg), cfg)
+    w = F.col("page_width").cast("int")
+    lo, hi = F.greatest(F.lit(0), F.col("x0").cast("int")), F.least(w, F.col("x1").cast("int") + 1)
+    begins = glyphs.groupBy(*PAGE, lo.alias("lo")).agg(F.max(hi).alias("hi"), F.max(w).alias("w"), F.sum(F.col("x1") - F.col("x0")).alias("s"), F.count("*").alias("c"))
+    pages = begins.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi")))).alias("covered"), F.max("w").alias("w"), (F.sum("s") / F.sum("c")).alias("aw"))
+    fold = f"""aggregate(covered, named_struct('upto', 0, 'out', cast(array() as array<struct<g0:int,g1:int>>)),
+      (a, x) -> named_struct('upto', greatest(a.upto, x.hi + {cfg.blur}), 'out', if(x.lo - {cfg.blur} > a.upto, array_append(a.out, named_struct('g0', a.upto, 'g1', x.lo - {cfg.blur})), a.out)), a -> a.out)"""
+    found = pages.select(*PAGE, "w", "aw", F.inline(F.expr(fold)))
+    return found.where((F.col("g1") < F.col("w")) & (F.col("g1") - F.col("g0") > cfg.gutter_width * F.col("aw"))).select(*PAGE, "g0", "g1")
 
 
 def lines(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
@@ -67,13 +89,14 @@ def lines(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
 
 
 def slices(lined: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """``slice``: lines with a gap before them open one."""
-    line = W.partitionBy(*BUCKET, "line")
-    order = W.partitionBy(*BUCKET).orderBy("ntop", "nx0", "seq")
-    g = lined.withColumns({"_lt": F.min("ntop").over(line), "_lb": F.max("nbottom").over(line)})
-    before = F.lag("_lb").over(order)
-    g = g.withColumn("_cut", F.when((F.col("_new") == 1) & (before.isNull() | (F.col("_lt") - before >= cfg.slice_gap * F.col("avg_height"))), 1).otherwise(0))
-    return g.withColumn("slice", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_lt", "_lb", "_cut", "_new")
+    """``slice``: lines with a gap before them open one. Lines follow each other in the glyphs' order, so one sort by line serves both windows."""
+    within = ("ntop", "nx0", "seq")
+    line = W.partitionBy(*BUCKET, "line").orderBy(*within)
+    order = W.partitionBy(*BUCKET).orderBy("line", *within)
+    g = lined.withColumn("_lb", F.max("nbottom").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    before = F.lag("_lb").over(order)  # of a line's first glyph: the end of the line before; its top is the line's
+    g = g.withColumn("_cut", F.when((F.col("_new") == 1) & (before.isNull() | (F.col("ntop") - before >= cfg.slice_gap * F.col("avg_height"))), 1).otherwise(0))
+    return g.withColumn("slice", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_lb", "_cut", "_new")
 
 
 def columns(sliced: DataFrame, found: DataFrame) -> DataFrame:
@@ -142,12 +165,29 @@ def reading_order(items: DataFrame) -> DataFrame:
     return items.withColumn("ord", F.row_number().over(order))
 
 
-def parse(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """Glyphs of pages to text items in reading order."""
+def text_items(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
+    """Text items of pages outside ``boxes``, with ``at`` (where reading order puts them) and ``arrival``."""
     safe = with_angle(safe_zone(glyphs, cfg))
-    found = page_gutters(safe, cfg)
-    laid = columns(slices(lines(with_metrics(normalised(mask(safe, boxes)), cfg), cfg), cfg), found)
+    laid = columns(slices(lines(with_metrics(normalised(mask(by_page(safe), boxes)), cfg), cfg), cfg), page_gutters(safe, cfg))
     out = merged(blocks(spaced(laid, cfg)), cfg)
-    arrival = F.struct("first_seq", "slice", "column_id", "block")
-    out = out.withColumn("arrival", arrival).withColumn("_top", F.col("top")).withColumn("top", F.col("head_top"))
-    return reading_order(out).withColumn("top", F.col("_top")).select(*PAGE, "ord", "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", F.col("angle").alias("rotation"))
+    arrival = F.struct("first_seq", F.col("slice").cast("long").alias("slice"), F.col("column_id").alias("column"), F.col("block").cast("long").alias("block"))
+    return out.select(*PAGE, F.col("head_top").alias("at"), arrival.alias("arrival"), "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", F.col("angle").alias("rotation"))
+
+
+def object_items(objects: DataFrame, text: DataFrame, kind: str, cfg: Layout = DEFAULT) -> DataFrame:
+    """Tables or images (page_width, seq and what they hold) as items after the page's text at equal tops."""
+    seen = text.select(*PAGE).distinct().withColumn("has_text", F.lit(True))
+    o = object_column(objects.join(seen, PAGE, "left").withColumn("has_text", F.coalesce("has_text", F.lit(False))), cfg)
+    arrival = F.struct(F.lit(2**62 + (kind == "image")).alias("first_seq"), F.col("seq").cast("long").alias("slice"), F.lit(0).alias("column"), F.lit(0).cast("long").alias("block"))
+    return o.select(*PAGE, F.col("top").alias("at"), arrival.alias("arrival"), F.lit(kind).alias("type"), "column_id", "x0", "top", "x1", "bottom", *(c for c in ("data", "metadata", "base64_data") if c in objects.columns))
+
+
+def ordered(items: DataFrame) -> DataFrame:
+    """Items with ``ord`` in place of ``at`` and ``arrival``."""
+    out = reading_order(items.withColumn("_top", F.col("top")).withColumn("top", F.col("at")))
+    return out.withColumn("top", F.col("_top")).drop("_top", "at", "arrival")
+
+
+def parse(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
+    """Glyphs of pages to text items in reading order."""
+    return ordered(text_items(glyphs, boxes, cfg)).select(*PAGE, "ord", "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", "rotation")

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over as many tasks as there are shuffle partitions: a small file's text becomes a hundred times its size."""
+    return table(spark, sf_dir, "documents").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def _sized(df: DataFrame) -> DataFrame:
     return df.withColumns({"page_width": F.lit(PAGE_W), "page_height": F.lit(PAGE_H)})
 
@@ -28,7 +33,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters on two columns of 20 lines by 40; a header, a footer outside the safe zone, a turned label at the side."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n", " ").alias("t"))
+    docs = dealt(spark, sf_dir).select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n", " ").alias("t"))
     body = docs.select("doc_id", F.posexplode(F.split("t", "")).alias("g", "text")).where("text <> ' ' and text <> ''")
     line = "(g div 40)"
     r = f"({line} % 20)"
@@ -82,7 +87,7 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as items, six to a page, every fifth an image, with a header and references to figures."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "text"))
+    lines = dealt(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "text"))
     p = "cast(l div 6 + 1 as int)"
     natural = lines.selectExpr(
         "doc_id", f"{p} as page_number", "cast(l % 6 + 1 as int) as ord", "case when l % 5 = 4 then 'image' when l % 4 = 0 then 'heading' else 'paragraph' end as type",

@@ -85,7 +85,7 @@ STEPS = {
         node_type || '_' || substr(sha256(doc_id || '/' || page_number || '/' || ord), 1, 16) AS t, r FROM own_edges
         UNION ALL SELECT doc_id, page_number, 0, 'root_' || substr(sha256(doc_id::VARCHAR), 1, 16), 'page_' || substr(sha256(doc_id || '/' || page_number), 1, 16), 'contains' FROM item_pages""",
     "tree": """SELECT doc_id, node_id, t, c, []::STRUCT(top INT, page INT, ord INT)[] AS path, 0 AS level FROM nodes WHERE t = 'root'
-        UNION ALL SELECT n.doc_id, n.node_id, n.t, n.c, list_append(path, {'top': coalesce(b1, 0), 'page': e.page_number, 'ord': e.ord}), level + 1 FROM tree p JOIN edges e ON e.doc_id = p.doc_id AND e.f = p.node_id JOIN nodes n ON n.doc_id = e.doc_id AND n.node_id = e.t WHERE level < 8""",
+        UNION ALL SELECT n.doc_id, n.node_id, n.t, n.c, list_append(path, {'top': coalesce(b1, 0), 'page': e.page_number, 'ord': e.ord}), level + 1 FROM tree p JOIN edges e ON e.doc_id = p.doc_id AND e.f = p.node_id JOIN nodes n ON n.doc_id = e.doc_id AND n.node_id = e.t""",
     "g_nodes": """SELECT 'r' || r_regionkey AS node_id, 'page' AS t, r_name AS c FROM region UNION ALL SELECT 'n' || n_nationkey, 'heading', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'paragraph', c_name FROM customer UNION ALL SELECT 'root', 'root', 'Document'""",
     "g_edges": """SELECT 'root' AS f, 'r' || r_regionkey AS t, 'contains' AS r FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'contains' FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'body_text' FROM customer WHERE c_custkey % 50 <> 0""",
     "heal_pages": """SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_number, o_orderkey % 3 <> 0 AS single, o_orderkey % 5 <> 0 AS first_is_table,

@@ -51,7 +51,7 @@ def _safe(s, d):
 
 
 def _kept(s, d):
-    return L.mask(G.normalised(_safe(s, d)), FX.layout_boxes(s, d))
+    return L.mask(G.normalised(L.by_page(_safe(s, d))), FX.layout_boxes(s, d))
 
 
 def _sliced(s, d):
@@ -493,7 +493,7 @@ _CLEAN = "regexp_replace(replace(c, chr(10), ' '), '^\\s+|\\s+$', '', 'g')"
 @query(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path)::BIGINT AS pos, level::BIGINT AS level,
   repeat('  ', level) || CASE WHEN t IN ('root', 'page', 'heading') THEN '[FOLDER]' ELSE '[FILE]' END || ' [' || upper(t) || '] ' || CASE WHEN length({_CLEAN}) > 80 THEN substr({_CLEAN}, 1, 80) || '...' ELSE {_CLEAN} END AS line FROM tree""")
 def tree_lines(s, d):
-    return R.tree_lines(*_woven(s, d), depth=8)
+    return R.tree_lines(*_woven(s, d))
 
 
 @query()

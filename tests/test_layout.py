@@ -209,6 +209,52 @@ def test_graph_is_connected_and_escaped(spark, tmp_path):
     sinks.write_pages(df, str(tmp_path / "p"))
 
 
+def slow_tree(nodes, edges):
+    """Pre-order with a set of visited nodes per root."""
+    out, kids = [], {}
+    for f, t in edges:
+        kids.setdefault(f, []).append(t)
+
+    def walk(n, level, seen):
+        if n in seen:
+            return
+        seen.add(n)
+        out.append((level, n))
+        for k in kids.get(n, []):
+            walk(k, level + 1, seen)
+
+    for n in nodes:
+        if n.startswith("r"):
+            walk(n, 0, set())
+    return out
+
+
+@pytest.mark.parametrize("kind", ["chain", "cycle", "shared"])
+def test_trees_of_any_depth(spark, kind):
+    rng = random.Random(6)
+    if kind == "chain":
+        names = ["r0", *(f"n{i}" for i in range(40))]
+        edges = list(zip(names, names[1:], strict=False))
+    elif kind == "cycle":
+        names = ["r0", "a", "b", "c", "d"]
+        edges = [("r0", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "r0"), ("b", "d"), ("d", "d")]
+    else:
+        names = ["r0", "r1", *(f"n{i}" for i in range(25))]
+        edges = list(dict.fromkeys((names[rng.randrange(min(27, 2 + i))], names[rng.randrange(2, 27)]) for i in range(60)))
+    nodes = spark.createDataFrame([(1, n, "root" if n[0] == "r" else "paragraph", n, None) for n in names], "doc_id long, node_id string, t string, c string, b1 int")
+    links = spark.createDataFrame([(1, f, t, "contains", 0, k) for k, (f, t) in enumerate(edges)], "doc_id long, f string, t string, r string, page_number int, ord int")
+    got = [(r.level, r.line.split("] ")[-1]) for r in R.tree_lines(nodes, links).orderBy("pos").collect()]
+    assert got == slow_tree(names, edges)
+
+
+def test_gutters_without_a_histogram(spark):
+    rng = random.Random(8)
+    rows = [glyph(i, "x", rng.choice([-3, 0, 40, 41.5, 90, 200, 300, 580, 611, 640]) + rng.random() * rng.choice([0, 5, 30]), 100, page=1 + i % 20, width=rng.choice([0.0, 4.5, 9.0])) for i in range(160)]
+    g = frame(spark, rows)
+    key = lambda df: sorted((r.page_number, r.g0, r.g1) for r in df.collect())
+    assert key(L.page_gutters(g)) == key(L.gutters(L.smoothed(L.coverage(g)))) and key(L.page_gutters(g))
+
+
 def test_weave_compat(spark):
     rows = [item(0, "paragraph", "see Figure 3", (0.0, 0.0, 50.0, 40.0)), item(1, "image", box=(0.0, 60.0, 50.0, 150.0), md="p_3"), item(2, "heading", "H", (300.0, 500.0, 400.0, 520.0), size=20.0)]
     df = spark.createDataFrame(rows, ITEM).drop("node_type")
