@@ -107,14 +107,14 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     counted = outcomes.select("page_id", F.col("bad").cast("int").alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     by_site, by_domain, by_suffix, lower = host_reputation(p.select("page_id", "host").join(counted, "page_id").select("host", "bad"), suffixes=suffixes)
-    # Bounds are looked up once per distinct host, then joined to the pages on the host (a skewed host splits).
+    # Bounds are looked up once per distinct host; the hosts above the cut are a table, so that a skewed host of the pages can split.
     site, domain, suffix = levels(F.col("host"), suffixes)
     hosts = p.select("host").distinct().select("host", site.alias("site"), domain.alias("domain"), suffix.alias("suffix"))
     for level, name in ((by_site, "site"), (by_domain, "domain"), (by_suffix, "suffix")):
         hosts = hosts.join(level.select(name, F.col("lower").alias(f"_{name}")), name, "left")
-    hosts = hosts.select("host", F.coalesce("_site", "_domain", "_suffix", F.lit(lower).cast("double")).alias("lower"))
-    out = p.join(hosts, "host", "left").withColumn("_r", matching_rule(F.col("host"), F.col("path"), rules))
-    by_method = F.when(F.col("lower") > cut_at, "block").otherwise("allow")
+    blocked = cut(hosts.where(F.coalesce("_site", "_domain", "_suffix", F.lit(lower).cast("double")) > cut_at).select("host", F.lit("block").alias("_by_method")))
+    out = p.join(blocked, "host", "left").withColumn("_r", matching_rule(F.col("host"), F.col("path"), rules))
+    by_method = F.coalesce("_by_method", F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), by_method).alias("verdict"))
 
 
