@@ -52,14 +52,18 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
 
 
 def _forest(mask: np.ndarray) -> np.ndarray:
-    """Least reachable column-or-row number for a symmetric mask."""
-    root = np.arange(len(mask))
-    while True:
-        least = np.minimum(root, np.where(mask, root[None, :], len(mask)).min(axis=1, initial=len(mask)))
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
+    """Least reachable row number for a symmetric mask; every row of the mask is read once."""
+    root, left = np.arange(len(mask)), mask.any(axis=1)
+    for i in range(len(mask)):
+        if not left[i]:
+            continue
+        front = np.array([i])
+        left[i] = False
+        while len(front):
+            root[front] = i
+            front = np.flatnonzero(mask[front].any(axis=0) & left)
+            left[front] = False
+    return root
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -67,16 +71,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     Vectors link when their labels are equal and not null, they have as many components, and their cosine is at
     least ``threshold``. Null, empty and zero vectors and those with null or non-finite components link with
-    nothing. Equal vectors are compared as one and counted as many; rows that repeat a vec_id are vectors of
-    their own. An empty table gives an empty result.
+    nothing. Equal vectors (by value) are compared as one and counted as many; rows that repeat a vec_id are vectors of
+    their own; a tie at the threshold links. Other columns are ignored, whatever their names. An empty table gives an
+    empty result. The work is quadratic in a label's distinct vectors, in tasks of two tiles.
     """
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
     usable = F.coalesce(F.col("label").isNotNull() & ~bad & some, F.lit(False))
-    rows = vectors.select("vec_id", "embedding", "label")
-    rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", F.size("embedding"), "embedding")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"))
-    nodes = cut(nodes.withColumn("dim", F.size("embedding")))
+    for seed in range(99):  # another hash, should different vectors ever have the same one
+        rows = vectors.select("vec_id", "embedding", "label")
+        rows = rows.withColumn("node", F.when(usable, F.xxhash64(F.lit(seed), "label", F.size("embedding"), "embedding")))
+        nodes = rows.where("node is not null").groupBy("node", "label", "embedding").agg(F.count("*").alias("copies"))
+        nodes = cut(nodes.withColumn("dim", F.size("embedding")))
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            break
     sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = nodes.join(sizes, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))

@@ -329,6 +329,21 @@ def test_vectors(spark, tile):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_reaches_all():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 30, 200):
+        mask = rng.random((n, n)) < 1.2 / n
+        mask |= mask.T
+        np.fill_diagonal(mask, False)
+        want = np.arange(n)
+        while True:
+            new = np.array([min([want[i], *want[mask[i]]]) for i in range(n)])
+            if (new == want).all():
+                break
+            want = new
+        assert (E._forest(mask) == want).all()
+
+
 def test_bounds_are_rigorous():
     rng = np.random.default_rng(5)
     x = E.unit(rng.normal(size=(300, 64)))
