@@ -13,7 +13,7 @@ the same offset (winnowing: the least hash of 100-byte grams in every window of
    removes the bytes between and hashes the rest.
 
 Equal contexts of one run travel once, so a group of copies costs a range no more rows than there are runs. Runs
-have a bounded number of bytes, follow from doc_id alone and give the same entries whatever the row order, so a
+have a bounded number of bytes, follow from doc_id and text alone and give the same entries whatever the row order, so a
 lost task is simply run again.
 """
 
@@ -36,6 +36,7 @@ from .common import mix64, partitions, release, table, text_buffers
 WIDTH, GRAM = 200, 100
 BACK = WIDTH - GRAM  #: the most bytes by which a shared string can start before its sampled suffix
 RUN_BYTES = 4 << 20
+RANGE_BYTES, TASK_BYTES = 8 << 20, 64 << 20  #: text whose suffixes meet in one range, and text in one task
 SLAB = 1 << 17
 PAD = 0xFF  #: never occurs in UTF-8
 NONE = 255
@@ -375,8 +376,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True,
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
     docs = docs.drop(*new, "_run")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n_runs, ranges = max(1, -(-total // run_bytes)), 6 * partitions(spark)
-    dealt = docs.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.lit(n_runs)))
+    n_runs, ranges, tasks = max(1, -(-total // run_bytes)), max(6 * partitions(spark), total // RANGE_BYTES), max(partitions(spark), total // TASK_BYTES)
+    dealt = docs.withColumn("_run", F.pmod(F.xxhash64("doc_id", text), F.lit(n_runs))).repartition(tasks, "_run")
     fields = [*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in new[:3]), *(T.StructField(c, T.StringType()) for c in new[3:])]
 
     def grams(t: pa.Table) -> pa.Table:
@@ -427,8 +428,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_text: bool = True,
         return out.append_column("kept_text", pa.array(kept, pa.string())) if keep_text else out
 
     by_run = dealt.groupBy("_run")
-    first = by_run.applyInArrow(grams, EXCHANGE).groupBy("_range").applyInArrow(_gram_answers, EXCHANGE)
-    second = by_run.cogroup(first.groupBy("_run")).applyInArrow(suffixes, EXCHANGE).groupBy("_range").applyInArrow(_suffix_answers, EXCHANGE)
+    first = by_run.applyInArrow(grams, EXCHANGE).repartition(tasks, "_range").groupBy("_range").applyInArrow(_gram_answers, EXCHANGE)
+    second = by_run.cogroup(first.groupBy("_run")).applyInArrow(suffixes, EXCHANGE).repartition(tasks, "_range").groupBy("_range").applyInArrow(_suffix_answers, EXCHANGE)
     return by_run.cogroup(first.unionByName(second).groupBy("_run")).applyInArrow(apply, T.StructType(fields))
 
 

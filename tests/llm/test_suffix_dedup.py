@@ -40,6 +40,17 @@ def test_repeats(spark, seed):
     assert {r.kept_text for r in got if r.doc_id == 70} == {None}
 
 
+def test_long_texts_over_slabs(spark):
+    """Texts longer than a slab, with passages that lie across its border; null ids and repeated rows."""
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    passage = prose(400)
+    rows = [(i, prose(S.SLAB - 150 * i) + passage + prose(20_000 + 9_000 * i) + passage[:250]) for i in range(3)]
+    rows += [(None, passage), (None, passage), (None, None), (None, None)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
+
+
 def test_repeats_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
