@@ -307,20 +307,23 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _greatest(found: list[bytes], texts: list[str | None]) -> np.ndarray:
     """Per text and candidate the greatest kernel value of the text's words; every distinct word is read once."""
-    raw, length, text = words_of(texts)
-    ends, signs = np.concatenate(([0], np.cumsum(length))), raw.astype(np.uint8).tobytes()
     number: dict[bytes, int] = {}
-    word = np.array([number.setdefault(signs[a:b], len(number)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
-    pairs = np.unique(word * len(texts) + text)
+    found_in = []
+    for k in range(0, len(texts), 128):  # some texts at a time: what they take besides stays small
+        raw, length, text = words_of(texts[k : k + 128])
+        ends, signs = np.concatenate(([0], np.cumsum(length))), raw.astype(np.uint8).tobytes()
+        word = np.array([number.setdefault(signs[a:b], len(number)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
+        found_in.append(np.unique(word * len(texts) + text + k))
+    pairs = np.sort(np.concatenate(found_in))
     word, text = pairs // len(texts), pairs % len(texts)
     kernel, words, out = Kernel(found), list(number), np.zeros((len(texts), len(found)), np.float32)
-    for k in range(0, len(words), 2048):
-        some = words[k : k + 2048]
+    for k in range(0, len(words), 512):
+        some = words[k : k + 512]
         value = kernel.values(np.frombuffer(b"".join(some), np.uint8).astype(np.int64), np.array([len(w) for w in some]), np.arange(len(some)), 1).astype(np.float32)
-        i, j = np.searchsorted(word, (k, k + 2048))
+        i, j = np.searchsorted(word, (k, k + 512))
         order = np.argsort(text[i:j], kind="stable")
-        for q in range(0, len(order), 16384):
-            at = order[q : q + 16384]
+        for q in range(0, len(order), 4096):
+            at = order[q : q + 4096]
             which, first = np.unique(text[i:j][at], return_index=True)
             out[which] = np.maximum(out[which], np.maximum.reduceat(value[word[i:j][at] - k], first, axis=0))
     return out
@@ -345,7 +348,7 @@ def _mapped(kernel: Kernel) -> np.ndarray:
 
 def _fit_stretches(x: np.ndarray, text: np.ndarray, toxic: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
     """Weights and bias: the machine on each text's worst stretch, some times over."""
-    rows = np.concatenate((x, np.zeros((1, x.shape[1]))))  # a text without words is the empty bag
+    rows = np.concatenate((x, np.zeros((1, x.shape[1]), x.dtype)))  # a text without words is the empty bag
     w = x[toxic[text] > 0].mean(axis=0) - x[toxic[text] == 0].mean(axis=0) if 0 < toxic[text].sum() < len(text) else np.zeros(x.shape[1])
     for _ in range(ROUNDS):
         w, b = _machine(rows[_worst(x @ w, text, len(toxic))], toxic, ridge)
@@ -366,11 +369,12 @@ def fit(texts: list[str | None], toxic: np.ndarray, ridge: float = 5e-3, folds:
     every = [*texts, *(inserted(texts[i] or "") for i in more)]
     source, label = np.concatenate((np.arange(n), more)), np.concatenate((toxic, toxic[more]))
     kernel = Kernel(marks)
-    parts = [(v, t + k) for k in range(0, len(every), 256) for v, t in [kernel.stretches(every[k : k + 256])]]
     mapped = _mapped(kernel)
-    x, text = np.concatenate([v for v, _ in parts]) @ mapped, np.concatenate([t for _, t in parts])
+    parts = [((v @ mapped).astype(np.float32), t + k) for k in range(0, len(every), 128) for v, t in [kernel.stretches(every[k : k + 128])]]
+    x, text = np.concatenate([v for v, _ in parts]), np.concatenate([t for _, t in parts])
+    del parts
     fold, margin = source % folds, np.zeros(len(label))
-    rows = np.concatenate((x, np.zeros((1, x.shape[1]))))
+    rows = np.concatenate((x, np.zeros((1, x.shape[1]), np.float32)))
     for f in range(folds):
         out = fold == f
         place, own = np.cumsum(~out) - 1, ~out[text]
