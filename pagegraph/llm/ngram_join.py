@@ -39,8 +39,9 @@ SLAB = 1 << 19
 FREQUENT_AT_MOST = 4_000_000
 SKETCH = 256
 TILE = 2048
-LOT = 65_536  #: members of buckets with the same first node that one task compares
-FILTER_BITS = 1 << 24
+LOT = 4096  #: members of buckets with the same first node that one group compares
+RANGE_BYTES, TASK_BYTES = 16 << 20, 64 << 20  #: text whose signatures meet in one range, and in one task
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26  #: of the filter of nodes in pairs
 U = np.uint64
 _M = 0xD1342543DE82EF95
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -308,8 +309,8 @@ def _similar(n: int, m: int, x: bytes, y: bytes) -> bool:
 
 
 def _pack_set(elements: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes (two different ones of a pair agree once in some 10^9 pairs)."""
-    return zstandard.ZstdCompressor(level=1).compress(_pack(elements >> U(16)))
+    """Sorted 64-bit hashes."""
+    return zstandard.ZstdCompressor(level=1).compress(_pack(elements))
 
 
 def _unpack_set(data: bytes, n: int) -> np.ndarray:
@@ -354,28 +355,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, steps=(("n", "sketch"), ("n", "da
     return pairs
 
 
-def _members(nodes: DataFrame) -> bytes:
-    """A filter of FILTER_BITS bits with the nodes' bits set; of fixed size, so it may reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            x = b.column("node").to_numpy().view(U) % U(FILTER_BITS)
-            np.bitwise_or.at(bits, (x >> U(3)).astype(np.int64), np.left_shift(1, x & U(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in nodes.select("node").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zstandard.decompress(bytes(row.bits)), np.uint8)
-    return zstandard.compress(out.tobytes(), 1)
+def _members(nodes: DataFrame) -> tuple[bytes, int]:
+    """A filter with the nodes' bits set, and its number of bits: 16 a node, at most MOST_BITS (a full filter lets more sets through, none less)."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * nodes.count()):
+        bits *= 2
+    place = F.col("node").bitwiseAND(bits - 1)
+    words = nodes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return zstandard.compress(out.astype("<i8").tobytes(), 1), bits
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Null, empty and blank texts have the empty set and link with nothing; a text of fewer than five words has
-    one shingle, all of it. Rows that repeat a doc_id are texts of their own, joined under that id's component
-    only if they are similar. Equal sets always link. An empty table gives an empty result.
+    one shingle, all of it; texts are read whole, however long. Rows that repeat a doc_id (or have none) are texts of
+    their own, joined under that id's component only if they are similar. Equal sets always link, and a tie at the
+    threshold links too. Shingles are compared as 64-bit hashes. Other columns are ignored, whatever their names. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -402,7 +401,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     # at most (features in all) / enough entries, so a few million longs at any size of input
     often = scanned.where("feature is not null").groupBy("feature").agg(F.sum("n_shingles").alias("c")).where(F.col("c") >= enough).select("feature").toPandas()
     frequent = sc.broadcast(pickle.dumps(np.sort(often["feature"].to_numpy(np.int64).view(U))))
-    ranges = 2 * partitions(spark)
+    ranges, tasks = max(2 * partitions(spark), total // RANGE_BYTES), max(partitions(spark), total // TASK_BYTES)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = pickle.loads(frequent.value)
@@ -421,17 +420,18 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
                     out_d.append(packer.compress(np.array([j - i, len(names)], np.int64).tobytes() + _pack(sig[i:j]) + ids[names].tobytes() + (local.ravel().astype(np.uint32) << 1 | core[i:j]).astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out_r, pa.int64()), pa.array(out_d, pa.binary())], names=["_range", "_data"])
 
-    found = docs.select("text").mapInArrow(emit, "_range long, _data binary").groupBy("_range").applyInArrow(_buckets, "a long, b long, members binary")
+    found = docs.select("text").mapInArrow(emit, "_range long, _data binary").repartition(tasks, "_range").groupBy("_range").applyInArrow(_buckets, "a long, b long, members binary")
     found = cut(found)
     stars = found.where("members is null").select("a", "b").distinct()
-    involved = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = sc.broadcast(_members(involved))
+    involved = cut(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    filled, size = _members(involved)
+    wanted = sc.broadcast(filled)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(zstandard.decompress(wanted.value), np.uint8)
         for t in _runs(batches, ["text"]):
             ids, elements, offsets = _distinct_sets(t, "text")
-            x = ids % U(FILTER_BITS)
+            x = ids & U(size - 1)
             own = np.flatnonzero(bits[(x >> U(3)).astype(np.int64)] >> (x & U(7)).astype(np.uint8) & 1)
             parts = [elements[offsets[i] : offsets[i + 1]] for i in own]
             columns = [_as_long(ids[own]), pa.array([len(e) for e in parts], pa.int64()), pa.array(map(_sketch, parts), pa.binary()), pa.array(map(_pack_set, parts), pa.binary())]
@@ -454,9 +454,9 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     left = found.where("members is not null").select("members").mapInArrow(spread, "bucket long, t int, tiles int, core boolean, node long, leader long")
     left = left.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    left = left.join(still, "bucket", "left_semi")
-    lots = left.groupBy("leader").agg(F.ceil(F.count("*") / LOT).alias("lots"))
-    left = left.join(lots, "leader").withColumn("lot", F.pmod("bucket", "lots")).join(sets.select("node", "n", "sketch"), "node")
+    left = cut(left.join(still, "bucket", "left_semi"))
+    lots = cut(left.groupBy("leader").agg(F.ceil(F.count("*") / LOT).alias("lots")).where("lots > 1"))  # few, so that a hot leader's members can split
+    left = left.join(lots, "leader", "left").withColumn("lot", F.pmod("bucket", F.coalesce("lots", F.lit(1)))).join(sets.select("node", "n", "sketch"), "node")
     left = left.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("leader", "lot", "bucket", F.least("t", "s").alias("i"), F.greatest("t", "s").alias("j"), (F.col("t") > F.col("s")).alias("second"), "core", "node", "root", "n", "sketch")
     pairs = left.groupBy("leader", "lot", "i", "j").applyInArrow(_open_pairs, "a long, b long").distinct()

@@ -77,6 +77,18 @@ def test_signatures_are_shared():
         assert np.array_equal(a, b) or any((s, True) in x | y for s in both), (len(a), len(b))
 
 
+def test_long_texts_and_filters(spark, monkeypatch):
+    """Very long texts, null ids, and a filter of nodes that is nearly full."""
+    monkeypatch.setattr(J, "LEAST_BITS", 64)
+    monkeypatch.setattr(J, "MOST_BITS", 64)
+    rng = random.Random(5)
+    long = rng.choices([f"w{i}" for i in range(40_000)], k=30_000)
+    near = long[:100] + ["x"] + long[100:]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:26_000])), (4, " ".join(long[:20_000])), (None, " ".join(near)), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [c for _, _, c in got] == [1, 1, 1, 4, None, 1] and got[-1][:2] == (None, got[1][1])
+
+
 def test_join_empty(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
