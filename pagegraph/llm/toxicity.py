@@ -38,7 +38,7 @@ DECAY, REACH, POWER = 0.75, 6, 3  #: triples span at most REACH signs
 SPAN = 16  #: words of a stretch
 JOINED = 12  #: signs that neighbouring words read as one may have
 PIECE, WHOLE = 6, 24  #: runs of more than WHOLE letters (scripts without spaces) are read in pieces
-CHUNK = 8192  #: words that are read at once
+CHUNK = 2048  #: words that are read at once; their values with the landmarks stay in a core's cache
 ROUNDS = 4
 NOISE = 0.055  #: over the root of the number of texts of label 1: a landmark's share in what is still wrong, at least
 CUT = 0.3
@@ -176,6 +176,9 @@ class Kernel:
         """Per word the sum of the kernel values of it and of the windows of up to ``most`` words of its text that begin with it."""
         n, raw = len(length), raw.astype(np.int32)
         owner, start = np.repeat(np.arange(n), length), np.cumsum(length) - length
+        short = [np.ones(n, bool), np.zeros(n, bool), np.zeros(n, bool)]  # windows from a word to the d-th after it that are read as one
+        for d in range(1, min(most, n)):
+            short[d][: n - d] = (text[: n - d] == text[d:]) & (sum(length[k : n - d + k] for k in range(d + 1)) <= JOINED)
         inner: list[list] = [[], [], []]  # by the words from a triple's first sign to its last
         begin: list[list] = [[], [], []]
         for i, j, w in _TRIPLES:
@@ -185,24 +188,23 @@ class Kernel:
                 apart = owner[at + j] - owner[at]
                 for d in range(most):
                     on = at[apart == d]
+                    on = on[short[1][owner[on]] | (short[2][owner[on] - 1] if d == 1 else short[2][owner[on]])] if d else on
                     inner[d].append((code[on], owner[on], w))
             at = np.flatnonzero(start + j - 1 < len(raw))
             code = START << 2 * BITS | raw[start[at] + i - 1] << BITS | raw[start[at] + j - 1]
             apart = owner[start[at] + j - 1] - at
             for d in range(most):
                 on = (apart == d) & self.held[code]
+                on = on & short[d][at] if d else on
                 begin[d].append((code[on], at[on], w))
         own, cross = self._sums(inner[0], n), self._sums(inner[1], n) if most > 1 else None
         value = own + self._sums(begin[0], n)
         out = _power(value / _weight(length)[:, None])
         at, joined = np.arange(n), length
         for d in range(1, min(most, n)):  # windows of d + 1 words, of those of d words that were short enough
-            go = np.flatnonzero(at < n - d)
-            go = go[(joined[go] + length[at[go] + d] <= JOINED) & (text[at[go]] == text[at[go] + d])]
+            go = np.flatnonzero(short[d][at])
             at, joined = at[go], joined[go] + length[at[go] + d]
-            value = value[go] + own[at + d] + cross[at + d - 1] + self._sums(begin[d], n)[at]
-            if d == 2:
-                value += self._sums(inner[2], n)[at]
+            value = value[go] + own[at + d] + cross[at + d - 1] + self._sums(begin[d] + (inner[2] if d == 2 else []), n)[at]
             out[at] += _power(value / _weight(joined)[:, None])
         return out
 
