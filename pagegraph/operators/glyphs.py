@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PAGE, Layout
@@ -55,14 +54,3 @@ def page_metrics(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
     )
     high = F.when(F.col("sd_size") > cfg.heading_min_sd, F.col("mode_size") + cfg.heading_sd * F.col("sd_size")).otherwise(F.col("mode_size") * cfg.heading_mode)
     return out.withColumn("heading_threshold", high)
-
-
-def with_metrics(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """The same metrics on every glyph by windows that keep to the page's partition: no join, no further exchange, one sort."""
-    page = W.partitionBy(*PAGE, "angle")
-    same = W.partitionBy(*PAGE, "angle", "_s")
-    g = glyphs.withColumn("_s", F.bround("size", 1))
-    g = g.withColumn("_c", F.struct(F.count("*").over(same).alias("c"), (-F.min("seq").over(same)).alias("f"), F.col("_s").alias("s")))
-    g = g.withColumns({"mode_size": F.max("_c").over(page)["s"], "sd_size": F.coalesce(F.stddev_samp("_s").over(page), F.lit(0.0)), "avg_height": F.avg(F.abs(F.col("bottom") - F.col("top"))).over(page), "first_seq": F.min("seq").over(page)})
-    high = F.when(F.col("sd_size") > cfg.heading_min_sd, F.col("mode_size") + cfg.heading_sd * F.col("sd_size")).otherwise(F.col("mode_size") * cfg.heading_mode)
-    return g.withColumn("heading_threshold", high).drop("_s", "_c")

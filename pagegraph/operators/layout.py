@@ -1,8 +1,9 @@
 """Page layout: masking, gutters, lines, slices, columns, blocks, reading order.
 
-Glyphs are exchanged once, by page (``by_page``); all windows after that are keyed by the page and finer keys, and
-neighbouring ones ask for orders that begin alike. Gutters come from a narrow pass of their own, summed before it is
-exchanged.
+Glyphs should come dealt by page (the mask's join does it where they don't); all that follows is keyed by the page and
+finer keys and exchanges none of them again. They are sorted twice, as they follow each other on the page and within
+its slices, and every window reads one of these two orders. What holds for a page, its gutters and metrics, is summed
+by passes of their own and joined by hash, which keeps the orders.
 """
 
 from __future__ import annotations
@@ -13,21 +14,18 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PAGE, Layout
 from ..functions.text import strip_ws
-from .glyphs import normalised, safe_zone, with_angle, with_metrics
+from .glyphs import normalised, page_metrics, safe_zone, with_angle
 
 BUCKET = [*PAGE, "angle"]
-
-
-def by_page(glyphs: DataFrame) -> DataFrame:
-    """The exchange that every later step on glyphs is served by."""
-    return glyphs.repartition(*PAGE)
+WITHIN = ["ntop", "nx0", "seq"]
+WHOLE, SO_FAR, BEFORE = (W.unboundedPreceding, W.unboundedFollowing), (W.unboundedPreceding, 0), (W.unboundedPreceding, -1)
 
 
 def mask(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Glyphs that no box of their page covers (its right edge is not asked for)."""
     b = boxes.select(*(F.col(c).alias(f"_{c}") for c in (*PAGE, "x0", "top", "x1", "bottom")))
     inside = (F.col("x0") >= F.col("_x0")) & (F.col("x0") <= F.col("_x1")) & (F.col("top") >= F.col("_top")) & (F.col("bottom") <= F.col("_bottom"))
-    return glyphs.join(b, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_number") == F.col("_page_number")) & inside, "left_anti")
+    return glyphs.join(b.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_number") == F.col("_page_number")) & inside, "left_anti")
 
 
 def coverage(glyphs: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def page_gutters(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
     w = F.col("page_width").cast("int")
     lo, hi = F.greatest(F.lit(0), F.col("x0").cast("int")), F.least(w, F.col("x1").cast("int") + 1)
     begins = glyphs.groupBy(*PAGE, lo.alias("lo")).agg(F.max(hi).alias("hi"), F.max(w).alias("w"), F.sum(F.col("x1") - F.col("x0")).alias("s"), F.count("*").alias("c"))
-    pages = begins.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi")))).alias("covered"), F.max("w").alias("w"), (F.sum("s") / F.sum("c")).alias("aw"))
+    pages = begins.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi")))).alias("covered"), F.max("w").alias("w"), (F.sum("s") / F.sum("c")).alias("aw"))
     fold = f"""aggregate(covered, named_struct('upto', 0, 'out', cast(array() as array<struct<g0:int,g1:int>>)),
       (a, x) -> named_struct('upto', greatest(a.upto, x.hi + {cfg.blur}), 'out', if(x.lo - {cfg.blur} > a.upto, array_append(a.out, named_struct('g0', a.upto, 'g1', x.lo - {cfg.blur})), a.out)), a -> a.out)"""
     found = pages.select(*PAGE, "w", "aw", F.inline(F.expr(fold)))
@@ -81,34 +79,33 @@ def page_gutters(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
 
 
 def lines(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """``line`` by chained vertical distance in normalised space."""
-    order = W.partitionBy(*BUCKET).orderBy("ntop", "nx0", "seq")
-    last = F.lag("ntop").over(order)
-    g = glyphs.withColumn("_new", F.when(last.isNull() | (F.abs(F.col("ntop") - last) >= cfg.line_glue * F.col("avg_height")), 1).otherwise(0))
-    return g.withColumn("line", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """``line`` by chained vertical distance in normalised space. As in the SQL, what belongs to no document or page is in no line."""
+    order = W.partitionBy(*BUCKET).orderBy(*WITHIN)
+    placed = glyphs.where(F.col("doc_id").isNotNull() & F.col("page_number").isNotNull())
+    g = placed.withColumns({"_last": F.lag("ntop").over(order), "avg_height": F.avg(F.abs(F.col("bottom") - F.col("top"))).over(order.rowsBetween(*WHOLE))})
+    g = g.withColumn("_new", F.when(F.col("_last").isNull() | (F.abs(F.col("ntop") - F.col("_last")) >= cfg.line_glue * F.col("avg_height")), 1).otherwise(0))
+    return g.withColumn("line", F.sum("_new").over(order.rowsBetween(*SO_FAR))).drop("_last")
 
 
 def slices(lined: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """``slice``: lines with a gap before them open one. Lines follow each other in the glyphs' order, so one sort by line serves both windows."""
-    within = ("ntop", "nx0", "seq")
-    line = W.partitionBy(*BUCKET, "line").orderBy(*within)
-    order = W.partitionBy(*BUCKET).orderBy("line", *within)
-    g = lined.withColumn("_lb", F.max("nbottom").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    before = F.lag("_lb").over(order)  # of a line's first glyph: the end of the line before; its top is the line's
-    g = g.withColumn("_cut", F.when((F.col("_new") == 1) & (before.isNull() | (F.col("ntop") - before >= cfg.slice_gap * F.col("avg_height"))), 1).otherwise(0))
-    return g.withColumn("slice", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_lb", "_cut", "_new")
+    """``slice``: lines with a gap before them open one. Lines are numbered in the glyphs' order, so the greatest line and bottom so far are those of the line before."""
+    order = W.partitionBy(*BUCKET).orderBy(*WITHIN)
+    g = lined.withColumn("_before", F.max(F.struct("line", "nbottom")).over(order.rowsBetween(*BEFORE)))
+    end = F.col("_before.nbottom")
+    g = g.withColumn("_cut", F.when((F.col("_new") == 1) & (end.isNull() | (F.col("ntop") - end >= cfg.slice_gap * F.col("avg_height"))), 1).otherwise(0))
+    return g.withColumn("slice", F.sum("_cut").over(order.rowsBetween(*SO_FAR))).drop("_before", "_cut", "_new")
 
 
 def columns(sliced: DataFrame, found: DataFrame) -> DataFrame:
-    """``column_id`` by the first gutter that holds the slice's middle; glyphs across it vanish."""
-    per_page = found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("g0", "g1"))).alias("_gutters"))
-    part = W.partitionBy(*BUCKET, "slice")
-    g = sliced.withColumns({"_min": F.min("nx0").over(part), "_max": F.max("nx1").over(part)}).join(per_page, PAGE, "left")
-    middle = F.col("_min") + (F.col("_max") - F.col("_min")) / 2
-    hit = F.filter("_gutters", lambda x: (F.col("_min") < x["g0"]) & (x["g1"] < F.col("_max")) & (x["g0"] < middle) & (middle < x["g1"]))
-    g = g.withColumn("_g", F.try_element_at(hit, F.lit(1)))
-    col = F.when(F.col("_g").isNull(), 0).when(F.col("nx1") <= F.col("_g.g0"), 1).when(F.col("nx0") >= F.col("_g.g1"), 2)
-    return g.withColumn("column_id", col).where("column_id is not null").drop("_min", "_max", "_gutters", "_g")
+    """``column_id`` by the gutter that holds the slice's middle; glyphs across it vanish. A page's gutters never overlap, so it is one at most."""
+    part = W.partitionBy(*BUCKET, "slice").orderBy(*WITHIN).rowsBetween(*WHOLE)
+    g = sliced.withColumns({"_min": F.min("nx0").over(part), "_max": F.max("nx1").over(part)})
+    per_page = found.select(*(F.col(c).alias(f"_{c}") for c in (*PAGE, "g0", "g1"))).hint("shuffle_hash")
+    g0, g1, middle = F.col("_g0"), F.col("_g1"), F.col("_min") + (F.col("_max") - F.col("_min")) / 2
+    holds = (F.col("_min") < g0) & (g1 < F.col("_max")) & (g0 < middle) & (middle < g1)
+    g = g.join(per_page, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_number") == F.col("_page_number")) & holds, "left")
+    col = F.when(g0.isNull(), 0).when(F.col("nx1") <= g0, 1).when(F.col("nx0") >= g1, 2)
+    return g.withColumn("column_id", col).where("column_id is not null").drop("_min", "_max", "_doc_id", "_page_number", "_g0", "_g1")
 
 
 def spaced(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
@@ -123,14 +120,16 @@ def spaced(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
     return g.withColumn("piece", F.when(F.col("_gap") & (F.col("_cut") == 0), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))).drop("_cut", "_gap")
 
 
-def blocks(pieces: DataFrame) -> DataFrame:
-    """Text blocks with type, mean size and boxes in both spaces."""
+def blocks(pieces: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Text blocks with type, mean size and boxes in both spaces; ``metrics``: of the kept glyphs, by page and angle."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda s: s["piece"]), "")
     out = pieces.groupBy(*BUCKET, "slice", "column_id", "block").agg(
-        text.alias("text"), F.avg("size").alias("font_size"), F.first("heading_threshold").alias("high"), F.min("first_seq").alias("first_seq"),
+        text.alias("text"), F.avg("size").alias("font_size"),
         F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.min("ntop").alias("ntop"), F.max("nbottom").alias("nbottom"),
     )
-    return out.withColumns({"text": strip_ws(F.col("text")), "type": F.when(F.col("font_size") >= F.col("high"), "heading").otherwise("paragraph")}).drop("high")
+    per_page = metrics.groupBy(*PAGE).agg(F.collect_list(F.struct("angle", "heading_threshold", "first_seq")).alias("_m"))  # by page, as the blocks are dealt
+    out = out.join(per_page.hint("shuffle_hash"), PAGE).withColumn("_m", F.try_element_at(F.filter("_m", lambda m: m["angle"] == F.col("angle")), F.lit(1)))
+    return out.withColumns({"text": strip_ws(F.col("text")), "first_seq": F.col("_m.first_seq"), "type": F.when(F.col("font_size") >= F.col("_m.heading_threshold"), "heading").otherwise("paragraph")}).drop("_m")
 
 
 def merged(found: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
@@ -168,8 +167,9 @@ def reading_order(items: DataFrame) -> DataFrame:
 def text_items(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
     """Text items of pages outside ``boxes``, with ``at`` (where reading order puts them) and ``arrival``."""
     safe = with_angle(safe_zone(glyphs, cfg))
-    laid = columns(slices(lines(with_metrics(normalised(mask(by_page(safe), boxes)), cfg), cfg), cfg), page_gutters(safe, cfg))
-    out = merged(blocks(spaced(laid, cfg)), cfg)
+    kept = normalised(mask(safe, boxes))
+    laid = columns(slices(lines(kept, cfg), cfg), page_gutters(safe, cfg))
+    out = merged(blocks(spaced(laid, cfg), page_metrics(kept, cfg)), cfg)
     arrival = F.struct("first_seq", F.col("slice").cast("long").alias("slice"), F.col("column_id").alias("column"), F.col("block").cast("long").alias("block"))
     return out.select(*PAGE, F.col("head_top").alias("at"), arrival.alias("arrival"), "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", F.col("angle").alias("rotation"))
 
