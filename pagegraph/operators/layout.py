@@ -8,7 +8,7 @@ by passes of their own and joined by hash, which keeps the orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,15 +109,24 @@ def columns(sliced: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def spaced(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """``block`` numbers within (slice, column), and ``piece``: the glyph with a space before it where the gap asks for one."""
-    order = W.partitionBy(*BUCKET, "slice", "column_id").orderBy("ntop", "nx0", "seq")
-    prev = {c: F.lag(c).over(order) for c in ("ntop", "nbottom", "size", "nx1")}
-    first = prev["ntop"].isNull()
+    """``block`` numbers within (slice, column), and ``piece``: the glyph with a space before it where the gap asks for one.
+
+    A slice has one column or two, read in the slice's order: each glyph looks back to the last one of its own column.
+    """
+    order = W.partitionBy(*BUCKET, "slice").orderBy(*WITHIN)
+    right = F.col("column_id") == 2
+
+    def own(of) -> Column:
+        return F.when(right, of(right)).otherwise(of(~right))
+
+    state = F.struct("ntop", "nbottom", "size", "nx1")
+    g = glyphs.withColumns({"_prev": own(lambda side: F.last(F.when(side, state), ignorenulls=True).over(order.rowsBetween(*BEFORE))), "rank": F.row_number().over(order)})
+    prev, first = F.col("_prev"), F.col("_prev").isNull()
     cut = first | (F.col("ntop") - prev["nbottom"] > cfg.block_gap * prev["size"]) | (F.abs(F.col("size") - prev["size"]) > cfg.block_size)
     gap = ~first & (F.abs(F.col("ntop") - prev["ntop"]) < cfg.space_line * F.col("size")) & (F.col("nx0") - prev["nx1"] > cfg.space_gap * F.col("size"))
-    g = glyphs.withColumns({"_cut": F.when(cut, 1).otherwise(0), "_gap": gap, "rank": F.row_number().over(order)})
-    g = g.withColumn("block", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return g.withColumn("piece", F.when(F.col("_gap") & (F.col("_cut") == 0), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))).drop("_cut", "_gap")
+    g = g.withColumns({"_cut": F.when(cut, 1).otherwise(0), "_gap": gap})
+    g = g.withColumn("block", own(lambda side: F.sum(F.when(side, F.col("_cut")).otherwise(0)).over(order.rowsBetween(*SO_FAR))))
+    return g.withColumn("piece", F.when(F.col("_gap") & (F.col("_cut") == 0), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))).drop("_cut", "_gap", "_prev")
 
 
 def blocks(pieces: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pagegraph.plans import registry
 
 from .test_oracles import SF, rows
 
-QUERIES = ["column_assign"]
+QUERIES = ["column_assign", "space_recovery"]
 
 
 @pytest.fixture(scope="module")
