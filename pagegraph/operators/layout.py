@@ -131,7 +131,7 @@ def spaced(glyphs: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
 
 def blocks(pieces: DataFrame, metrics: DataFrame) -> DataFrame:
     """Text blocks with type, mean size and boxes in both spaces; ``metrics``: of the kept glyphs, by page and angle."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda s: s["piece"]), "")
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("rank", "piece")))["piece"], "")
     out = pieces.groupBy(*BUCKET, "slice", "column_id", "block").agg(
         text.alias("text"), F.avg("size").alias("font_size"),
         F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.min("ntop").alias("ntop"), F.max("nbottom").alias("nbottom"),
