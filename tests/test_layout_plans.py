@@ -10,7 +10,7 @@ from pagegraph.plans import registry
 
 from .test_oracles import SF, rows
 
-QUERIES = ["column_assign", "space_recovery", "text_blocks", "merge_blocks"]
+QUERIES = ["column_assign", "space_recovery", "text_blocks", "merge_blocks", "reading_order"]
 
 
 @pytest.fixture(scope="module")
