@@ -39,6 +39,7 @@ SPAN = 16  #: words of a stretch
 JOINED = 12  #: signs that neighbouring words read as one may have
 PIECE, WHOLE = 6, 24  #: runs of more than WHOLE letters (scripts without spaces) are read in pieces
 CHUNK = 2048  #: words that are read at once; their values with the landmarks stay in a core's cache
+WORDS, WINDOWS, BIT = 1 << 19, 1 << 21, 21  #: words and windows whose values a task keeps before it begins anew; bits of a word's number
 ROUNDS = 4
 NOISE = 0.055  #: over the root of the number of texts of label 1: a landmark's share in what is still wrong, at least
 CUT = 0.3
@@ -228,6 +229,90 @@ class Kernel:
         return out, text[edge]
 
 
+class Margins:
+    """Weighted kernel values of stretches, without their values by landmark.
+
+    A text's margin is linear in the kernel values of its words and windows, and a window is its words read as one: the
+    weighted value of each distinct word and window is worked out once and kept, and stretches sum these numbers.
+    """
+
+    def __init__(self, kernel: Kernel, weights: np.ndarray):
+        self.kernel, self.weights = kernel, weights
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.signs, self.length, self.value = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0)  # of words by number
+        self.keys, self.joined = np.zeros(0, np.int64), np.zeros(0)  # of windows by key: their words' numbers plus one
+
+    def _values(self, signs: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The weighted value of each of the words that ``signs`` holds end to end."""
+        ends, out = np.concatenate(([0], np.cumsum(length))), np.zeros(len(length))
+        for k in range(0, len(length), CHUNK):
+            e = min(len(length), k + CHUNK)
+            out[k:e] = self.kernel.values(signs[ends[k] : ends[e]], length[k:e], np.arange(e - k), 1) @ self.weights
+        return out
+
+    def _numbers(self, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The words' numbers; words not met before get theirs and their value."""
+        ends = np.concatenate(([0], np.cumsum(length)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(raw.astype(np.uint8))]).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        get = self.number.get
+        known = np.array([get(w, -1) for w in words], np.int64)
+        at = np.flatnonzero(known < 0)
+        if len(at):
+            new = [words[k] for k in at.tolist()]
+            known[at] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(new, known[at].tolist(), strict=True))
+            signs, n = np.frombuffer(b"".join(new), np.uint8), np.array([len(w) for w in new], np.int64)
+            self.signs, self.length = np.concatenate((self.signs, signs)), np.concatenate((self.length, n))
+            self.value = np.concatenate((self.value, self._values(signs, n)))
+        return known[found.indices.to_numpy()]
+
+    def _windows(self, key: np.ndarray) -> np.ndarray:
+        """The weighted values of windows by key."""
+        found = pa.array(key).dictionary_encode()
+        own = np.sort(found.dictionary.to_numpy())
+        at = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        new = own[self.keys[at] != own] if len(self.keys) else own
+        if len(new):
+            parts = np.stack([new >> 2 * BIT, new >> BIT & (1 << BIT) - 1, new & (1 << BIT) - 1], axis=1) - 1
+            real = parts >= 0
+            n = np.where(real, self.length[parts], 0)
+            first, count = (np.cumsum(self.length) - self.length)[parts[real]], n[real]
+            signs = self.signs[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            value, keys = self._values(signs, n.sum(axis=1)), np.concatenate((self.keys, new))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.joined = keys[order], np.concatenate((self.joined, value))[order]
+        return self.joined[np.searchsorted(self.keys, found.dictionary.to_numpy())][found.indices.to_numpy()]
+
+    def stretches(self, texts: list[str | None], most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """``Kernel.stretches`` times the weights, and the texts the stretches are from."""
+        raw, length, text = words_of(texts)
+        n = len(length)
+        if not n or not self.kernel.landmarks:
+            return np.zeros(0), np.zeros(0, np.int64)
+        if len(self.number) > WORDS or len(self.keys) > WINDOWS:
+            self._clear()
+        if len(self.number) + n >= 1 << BIT:  # numbers might not fit a key
+            value, text = self.kernel.stretches(texts, most)
+            return value @ self.weights, text
+        number = self._numbers(raw, length)
+        out = self.value[number]
+        for d in range(1, min(most, n)):
+            at = np.flatnonzero((text[: n - d] == text[d:]) & (sum(length[k : n - d + k] for k in range(d + 1)) <= JOINED))
+            key = number[at] + 1
+            for k in (1, 2):
+                key = key << BIT | (number[at + k] + 1 if k <= d else 0)
+            out[at] += self._windows(key) if len(at) else 0.0
+        begin = np.ones(n, bool)
+        begin[1:] = text[1:] != text[:-1]
+        place = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+        edge = np.flatnonzero(place % SPAN == 0)
+        return np.add.reduceat(out, edge), text[edge]
+
+
 def _worst(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """Per text the number of its stretch of greatest value (-1 without any); ``text`` ascends."""
     out = np.full(n, -1)
@@ -245,13 +330,13 @@ class Model:
     slope: float
     shift: float
 
-    def margins(self, kernel: Kernel, texts: list[str | None]) -> np.ndarray:
-        value, text = kernel.stretches(texts)
+    def margins(self, kernel: Kernel | Margins, texts: list[str | None]) -> np.ndarray:
+        value, text = (kernel if isinstance(kernel, Margins) else Margins(kernel, self.weights)).stretches(texts)
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, text, value @ self.weights)
+        np.maximum.at(out, text, value)
         return np.where(np.isfinite(out), out, 0.0) + self.bias
 
-    def scores(self, kernel: Kernel, texts: list[str | None]) -> np.ndarray:
+    def scores(self, kernel: Kernel | Margins, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(kernel, texts) + self.shift, -60, 60)))
 
 
@@ -423,7 +508,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(sent.value)
-        kernel = Kernel(m.landmarks)
+        kernel = Margins(Kernel(m.landmarks), m.weights)
         for b in batches:
             texts, out = b.column(text), []
             for i in range(0, b.num_rows, 512):
