@@ -3,7 +3,8 @@
 Glyphs should come dealt by page (the mask's join does it where they don't); all that follows is keyed by the page and
 finer keys and exchanges none of them again. They are sorted twice, as they follow each other on the page and within
 its slices, and every window reads one of these two orders. What holds for a page, its gutters and metrics, is summed
-by passes of their own and joined by hash, which keeps the orders.
+by passes of their own and joined by hash, which keeps the orders. Text items come from ``pages``, which has the same
+rules over arrays.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, PAGE, Layout
 from ..functions.text import strip_ws
 from .glyphs import normalised, page_metrics, safe_zone, with_angle
+from .pages import page_blocks
 
 BUCKET = [*PAGE, "angle"]
 WITHIN = ["ntop", "nx0", "seq"]
@@ -173,12 +175,15 @@ def reading_order(items: DataFrame) -> DataFrame:
     return items.withColumn("ord", F.row_number().over(order))
 
 
-def text_items(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
+def text_items(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT, by_page: bool = False) -> DataFrame:
     """Text items of pages outside ``boxes``, with ``at`` (where reading order puts them) and ``arrival``."""
-    safe = with_angle(safe_zone(glyphs, cfg))
-    kept = normalised(mask(safe, boxes))
-    laid = columns(slices(lines(kept, cfg), cfg), page_gutters(safe, cfg))
-    out = merged(blocks(spaced(laid, cfg), page_metrics(kept, cfg)), cfg)
+    if cfg.blur > 4:  # gutters need the histogram
+        safe = with_angle(safe_zone(glyphs, cfg))
+        kept = normalised(mask(safe, boxes))
+        laid = columns(slices(lines(kept, cfg), cfg), page_gutters(safe, cfg))
+        out = merged(blocks(spaced(laid, cfg), page_metrics(kept, cfg)), cfg)
+    else:
+        out = page_blocks(glyphs, boxes, cfg, by_page=by_page)
     arrival = F.struct("first_seq", F.col("slice").cast("long").alias("slice"), F.col("column_id").alias("column"), F.col("block").cast("long").alias("block"))
     return out.select(*PAGE, F.col("head_top").alias("at"), arrival.alias("arrival"), "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", F.col("angle").alias("rotation"))
 
@@ -197,6 +202,7 @@ def ordered(items: DataFrame) -> DataFrame:
     return out.withColumn("top", F.col("_top")).drop("_top", "at", "arrival")
 
 
-def parse(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT) -> DataFrame:
-    """Glyphs of pages to text items in reading order."""
-    return ordered(text_items(glyphs, boxes, cfg)).select(*PAGE, "ord", "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", "rotation")
+def parse(glyphs: DataFrame, boxes: DataFrame, cfg: Layout = DEFAULT, by_page: bool = False) -> DataFrame:
+    """Glyphs of pages to text items in reading order; ``by_page``: a page's glyphs follow each other."""
+    items = ordered(text_items(glyphs, boxes, cfg)) if cfg.blur > 4 else page_blocks(glyphs, boxes, cfg, by_page=by_page).withColumn("rotation", F.col("angle"))
+    return items.select(*PAGE, "ord", "type", "text", "column_id", "font_size", "x0", "top", "x1", "bottom", "rotation")
