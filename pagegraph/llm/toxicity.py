@@ -111,6 +111,13 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return raw, length, text[at]
 
 
+def distinct(raw: np.ndarray, length: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of those that ``raw`` holds end to end, and for each word its place among them."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    found = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(raw.astype(np.uint8))]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
+
+
 def triples(word: np.ndarray) -> dict[int, float]:
     """Weights of a word's triples of signs (the explicit kernel features)."""
     c, out = [START, *(int(x) for x in word)], {}
@@ -136,6 +143,11 @@ def _power(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` ascending numbers from each of ``first``, end to end."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Kernel:
     """Kernel values with a fixed list of landmarks (words as arrays of signs)."""
 
@@ -156,57 +168,45 @@ class Kernel:
         self.held = self.count > 0  # small enough to stay in a core's cache
         entries = [e for c in sorted(held) for e in held[c]]
         self.landmark, self.weight = np.array([k for k, _ in entries], np.int64), np.array([w for _, w in entries], float)
+        #: The same once for each span from 3 to REACH, the weights times the span's.
+        self.landmarks_by_span = np.tile(self.landmark, REACH - 2)
+        self.weights_by_span = np.concatenate([DECAY ** (j + 1) * self.weight for j in range(2, REACH)])
 
     def gram(self) -> np.ndarray:
         words = [np.frombuffer(m, np.uint8).astype(np.int64) for m in self.landmarks]
         return self.values(np.concatenate(words), np.array([len(w) for w in words]), np.arange(len(words)), 1)
 
-    def _sums(self, hits: list[tuple[np.ndarray, np.ndarray, float]], size: int) -> np.ndarray:
-        """Sums by landmark of weighted codes for each of ``size`` owners."""
-        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for code, owner, w in hits:
-            count = self.count[code]
-            total = int(count.sum())
-            at = np.repeat(self.first[code] - np.cumsum(count) + count, count) + np.arange(total)
-            keys.append(np.repeat(owner, count) * len(self.landmarks) + self.landmark[at])
-            weights.append(w * self.weight[at])
-        flat = np.bincount(np.concatenate(keys), np.concatenate(weights), size * len(self.landmarks))
-        return flat.reshape(size, len(self.landmarks))
-
     def values(self, raw: np.ndarray, length: np.ndarray, text: np.ndarray, most: int = 3) -> np.ndarray:
         """Per word the sum of the kernel values of it and of the windows of up to ``most`` words of its text that begin with it."""
-        n, raw = len(length), raw.astype(np.int32)
-        owner, start = np.repeat(np.arange(n), length), np.cumsum(length) - length
-        short = [np.ones(n, bool), np.zeros(n, bool), np.zeros(n, bool)]  # windows from a word to the d-th after it that are read as one
+        out, n, start = self._alone(raw, length), len(length), np.cumsum(length) - length
         for d in range(1, min(most, n)):
-            short[d][: n - d] = (text[: n - d] == text[d:]) & (sum(length[k : n - d + k] for k in range(d + 1)) <= JOINED)
-        inner: list[list] = [[], [], []]  # by the words from a triple's first sign to its last
-        begin: list[list] = [[], [], []]
-        for i, j, w in _TRIPLES:
-            if len(raw) > j:
-                code = raw[: len(raw) - j] << 2 * BITS | raw[i : len(raw) - j + i] << BITS | raw[j:]
-                at = np.flatnonzero(self.held[code])
-                apart = owner[at + j] - owner[at]
-                for d in range(most):
-                    on = at[apart == d]
-                    on = on[short[1][owner[on]] | (short[2][owner[on] - 1] if d == 1 else short[2][owner[on]])] if d else on
-                    inner[d].append((code[on], owner[on], w))
-            at = np.flatnonzero(start + j - 1 < len(raw))
-            code = START << 2 * BITS | raw[start[at] + i - 1] << BITS | raw[start[at] + j - 1]
-            apart = owner[start[at] + j - 1] - at
-            for d in range(most):
-                on = (apart == d) & self.held[code]
-                on = on & short[d][at] if d else on
-                begin[d].append((code[on], at[on], w))
-        own, cross = self._sums(inner[0], n), self._sums(inner[1], n) if most > 1 else None
-        value = own + self._sums(begin[0], n)
-        out = _power(value / _weight(length)[:, None])
-        at, joined = np.arange(n), length
-        for d in range(1, min(most, n)):  # windows of d + 1 words, of those of d words that were short enough
-            go = np.flatnonzero(short[d][at])
-            at, joined = at[go], joined[go] + length[at[go] + d]
-            value = value[go] + own[at + d] + cross[at + d - 1] + self._sums(begin[d] + (inner[2] if d == 2 else []), n)[at]
-            out[at] += _power(value / _weight(joined)[:, None])
+            joined = sum(length[k : n - d + k] for k in range(d + 1))
+            at = np.flatnonzero((text[: n - d] == text[d:]) & (joined <= JOINED))
+            out[at] += self._alone(raw[spread(start[at], joined[at])], joined[at])
+        return out
+
+    def _alone(self, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """``values`` of words by themselves: words of one length are the columns of a table, whose rows give a triple of all of them at once."""
+        out, start = np.zeros((len(length), len(self.landmarks))), np.cumsum(length) - length
+        for size in np.flatnonzero(np.bincount(length)).tolist():
+            at = np.flatnonzero(length == size)
+            signs = np.full((size + 1, len(at)), START, np.int64)
+            signs[1:] = raw[start[at] + np.arange(size)[:, None]]
+            first, second, column = signs << 2 * BITS, signs << BITS, np.tile(np.arange(len(at)) * len(self.landmarks), size)
+            entries, keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j, _ in _TRIPLES:
+                if j <= size:
+                    code = (first[: size + 1 - j] | second[i : size + 1 - j + i] | signs[j:]).ravel()
+                    hit = np.flatnonzero(self.held[code])
+                    code = code[hit]
+                    entries.append(self.first[code] + (j - 2) * len(self.landmark))
+                    keys.append(column[hit])
+                    counts.append(self.count[code])
+            count = np.concatenate(counts)
+            entry = spread(np.concatenate(entries), count)
+            key = np.repeat(np.concatenate(keys), count) + self.landmarks_by_span[entry]
+            value = np.bincount(key, self.weights_by_span[entry], len(at) * len(self.landmarks)).reshape(len(at), -1)
+            out[at] = _power(value / _weight(np.array(size)))
         return out
 
     def stretches(self, texts: list[str | None], most: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -221,10 +221,10 @@ class Kernel:
         edge = np.flatnonzero(place % SPAN == 0)
         number = np.cumsum(place % SPAN == 0) - 1
         out, ends = np.zeros((len(edge), len(self.landmarks))), np.concatenate(([0], np.cumsum(length)))
-        for k in range(0, n, CHUNK):
-            e = min(n, k + CHUNK + 2)
-            got = self.values(raw[ends[k] : ends[e]], length[k:e], text[k:e], most)[: min(CHUNK, n - k)]
-            which, at = np.unique(number[k : k + CHUNK], return_index=True)
+        for k in range(0, n, 4 * CHUNK):
+            e = min(n, k + 4 * CHUNK + 2)
+            got = self.values(raw[ends[k] : ends[e]], length[k:e], text[k:e], most)[: min(4 * CHUNK, n - k)]
+            which, at = np.unique(number[k : k + 4 * CHUNK], return_index=True)
             out[which] += np.add.reduceat(got, at, axis=0)
         return out, text[edge]
 
@@ -246,18 +246,17 @@ class Margins:
         self.keys, self.joined = np.zeros(0, np.int64), np.zeros(0)  # of windows by key: their words' numbers plus one
 
     def _values(self, signs: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The weighted value of each of the words that ``signs`` holds end to end."""
-        ends, out = np.concatenate(([0], np.cumsum(length))), np.zeros(len(length))
+        """The weighted value of each of the words that ``signs`` holds end to end, read in the order of their lengths."""
+        start, order, out = np.cumsum(length) - length, np.argsort(length, kind="stable"), np.zeros(len(length))
         for k in range(0, len(length), CHUNK):
-            e = min(len(length), k + CHUNK)
-            out[k:e] = self.kernel.values(signs[ends[k] : ends[e]], length[k:e], np.arange(e - k), 1) @ self.weights
+            at = order[k : k + CHUNK]
+            n = length[at]
+            out[at] = self.kernel.values(signs[spread(start[at], n)], n, np.arange(len(at)), 1) @ self.weights
         return out
 
     def _numbers(self, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The words' numbers; words not met before get theirs and their value."""
-        ends = np.concatenate(([0], np.cumsum(length)))
-        found = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(raw.astype(np.uint8))]).dictionary_encode()
-        words = found.dictionary.to_pylist()
+        words, place = distinct(raw, length)
         get = self.number.get
         known = np.array([get(w, -1) for w in words], np.int64)
         at = np.flatnonzero(known < 0)
@@ -268,7 +267,7 @@ class Margins:
             signs, n = np.frombuffer(b"".join(new), np.uint8), np.array([len(w) for w in new], np.int64)
             self.signs, self.length = np.concatenate((self.signs, signs)), np.concatenate((self.length, n))
             self.value = np.concatenate((self.value, self._values(signs, n)))
-        return known[found.indices.to_numpy()]
+        return known[place]
 
     def _windows(self, key: np.ndarray) -> np.ndarray:
         """The weighted values of windows by key."""
@@ -281,8 +280,7 @@ class Margins:
             real = parts >= 0
             n = np.where(real, self.length[parts], 0)
             first, count = (np.cumsum(self.length) - self.length)[parts[real]], n[real]
-            signs = self.signs[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            value, keys = self._values(signs, n.sum(axis=1)), np.concatenate((self.keys, new))
+            value, keys = self._values(self.signs[spread(first, count)], n.sum(axis=1)), np.concatenate((self.keys, new))
             order = np.argsort(keys, kind="stable")
             self.keys, self.joined = keys[order], np.concatenate((self.joined, value))[order]
         return self.joined[np.searchsorted(self.keys, found.dictionary.to_numpy())][found.indices.to_numpy()]
@@ -409,8 +407,8 @@ def _greatest(found: list[bytes], texts: list[str | None]) -> np.ndarray:
     found_in = []
     for k in range(0, len(texts), 128):  # some texts at a time: what they take besides stays small
         raw, length, text = words_of(texts[k : k + 128])
-        ends, signs = np.concatenate(([0], np.cumsum(length))), raw.astype(np.uint8).tobytes()
-        word = np.array([number.setdefault(signs[a:b], len(number)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
+        own, place = distinct(raw, length)
+        word = np.array([number.setdefault(w, len(number)) for w in own], np.int64)[place]
         found_in.append(np.unique(word * len(texts) + text + k))
     pairs = np.sort(np.concatenate(found_in))
     word, text = pairs // len(texts), pairs % len(texts)
@@ -419,14 +417,24 @@ def _greatest(found: list[bytes], texts: list[str | None]) -> np.ndarray:
         some = words[k : k + 512]
         value = kernel.values(np.frombuffer(b"".join(some), np.uint8).astype(np.int64), np.array([len(w) for w in some]), np.arange(len(some)), 1).astype(np.float32)
         i, j = np.searchsorted(word, (k, k + 512))
-        order = np.argsort(text[i:j], kind="stable")
-        for q in range(0, len(order), 4096):
-            at = order[q : q + 4096]
-            which, first = np.unique(text[i:j][at], return_index=True)
-            out[which] = np.maximum(out[which], np.maximum.reduceat(value[word[i:j][at] - k], first, axis=0))
+        raise_to_greatest(out, value, word[i:j] - k, text[i:j])
     return out
 
 
+def raise_to_greatest(out: np.ndarray, value: np.ndarray, source: np.ndarray, target: np.ndarray, rows: int = 64) -> None:
+    """``np.maximum.at(out, target, value[source])``: up to ``rows`` neighbouring rows of ``out`` at a time, each with one row of ``value``."""
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    place = np.arange(len(target))
+    turn = place - np.maximum.accumulate(np.where(np.diff(target, prepend=-1) != 0, place, 0))  # a row of ``out`` has its sources in turn
+    order = np.lexsort((turn, target // rows))
+    source, target, turn = source[order], target[order], turn[order]
+    cuts = np.flatnonzero((np.diff(turn) != 0) | (np.diff(target // rows) != 0)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(target)], strict=True):
+        at = target[i:j]
+        out[at] = np.maximum(out[at], value[source[i:j]])
+
+
 def inserted(text: str) -> str:
     """The text with a letter more inside every word of five or more; where and which follows from the word."""
 
